@@ -32,3 +32,22 @@ def local_session(app: str = "markfuse", cores: int | None = None, **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One driver table, by Spark's own reader, so any Hadoop file system will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package's source to the executors' Python workers, once a session: functions that run
+    there are pickled by reference, and a cluster's nodes need not have the package installed."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_markfuse_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    if not package.is_dir():  # already imported from a shipped archive
+        return
+    top = Path(tempfile.mkdtemp(prefix="markfuse-src-"))
+    shutil.copytree(package, top / "src" / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(str(top / "markfuse_src"), "zip", top / "src"))
+    sc._markfuse_shipped = True
