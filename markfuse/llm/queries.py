@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, tokens, urls
+from . import exact, simhash, tokens, urls
 from .common import read
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edits(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact.judge(read(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -29,6 +33,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_fingerprints": op3,
     "op4_exact_dedup": op4,
     "op5_token_counts": op5,
     "op7_url_filter": op7,
