@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, simhash, tokens, urls
+from . import exact, langid, simhash, tokens, urls
 from .common import read
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = langid.learn(docs, ~F.coalesce(held, F.lit(False)))
+    out = langid.predict(docs, model, extra={"held_out": F.coalesce(held, F.lit(False))})
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edits(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -33,6 +41,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1,
     "op3_fingerprints": op3,
     "op4_exact_dedup": op4,
     "op5_token_counts": op5,
