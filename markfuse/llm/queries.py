@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, simhash, tokens, urls
+from . import exact, langid, pii, simhash, tokens, urls
 from .common import read
 
 
@@ -40,12 +40,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_language_id": op1,
     "op3_fingerprints": op3,
     "op4_exact_dedup": op4,
     "op5_token_counts": op5,
     "op7_url_filter": op7,
+    "op10_pii": op10,
 }
 
 ORACLE = {
