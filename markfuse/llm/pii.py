@@ -165,7 +165,6 @@ def train(texts: list[tuple[list[int], list[str], list[list[int]]]], rounds: int
     """Pseudo-likelihood ascent. texts: (kinds, keys, features) of the mentions of each text. The skip
     potentials have a prior centred on agreement (`agree` for equal kinds), the others on zero."""
     theta, chain, prior = np.zeros((LABELS, FEATURES)), np.zeros((LABELS, LABELS)), agree * np.eye(LABELS)
-    prior[OTHER, OTHER] = 0.0
     skip = prior.copy()
     rows, labels, side = [], [], []  # features; label; (which table, label of the other end) pairs
     for kinds, keys, feats in texts:
