@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,9 +59,17 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/markfuse-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    free(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps: it waits for the driver's garbage
+    collector, which an idle driver may not run for a long time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unstage(df: DataFrame) -> None:
     """Remove what stage() wrote once nothing reads it any more."""
     for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, pii, simhash, tokens, urls
+from . import exact, langid, pii, simhash, substring, tokens, urls
 from .common import read
 
 
@@ -17,6 +17,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edits(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -46,6 +50,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1,
+    "op2_substring_dedup": op2,
     "op3_fingerprints": op3,
     "op4_exact_dedup": op4,
     "op5_token_counts": op5,
@@ -54,6 +59,18 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_substring_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+pos AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+key AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 49 <= len(w) THEN md5(array_to_string(w[i:i + 49], ' ')) END AS k FROM pos),
+bad AS (SELECT doc_id, i, word, CASE WHEN k IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY k) THEN 1 ELSE 0 END AS b FROM key),
+hit AS (SELECT doc_id, i, word, max(b) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM bad),
+kept AS (SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed,
+                sha256(coalesce(string_agg(CASE WHEN gone = 0 THEN word END, ' ' ORDER BY i), '')) AS kept_sha256
+         FROM hit GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+""",
     "op4_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
