@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, pii, simhash, substring, tokens, urls
+from . import exact, langid, minhash, pii, simhash, substring, tokens, urls
 from .common import read
 
 
@@ -44,6 +44,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85).withColumnRenamed("id", "doc_id")
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_exact_dedup": op4,
     "op5_token_counts": op5,
     "op7_url_filter": op7,
+    "op8_minhash_near_dedup": op8,
     "op10_pii": op10,
 }
 
@@ -82,6 +87,20 @@ SELECT doc_id,
        doc_id IS NOT DISTINCT FROM first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST) AS kept,
        sha256(norm) AS text_sha256
 FROM d
+""",
+    "op8_minhash_near_dedup": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+         GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(x, y) AS (SELECT a, b FROM pair UNION SELECT r.x, p.b FROM reach r JOIN pair p ON r.y = p.a),
+low AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id,
+       doc_id = least(doc_id, coalesce(m, doc_id)) AS kept
+FROM s LEFT JOIN low ON x = doc_id
 """,
     "op7_url_filter": r"""
 WITH RECURSIVE raw AS (
