@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, minhash, pii, simhash, substring, tokens, urls
+from . import exact, langid, minhash, mixing, pieces, pii, simhash, substring, tokens, urls
 from .common import read
 
 
@@ -40,6 +40,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.judge(read(spark, sf_dir, "documents"), evenness=0.5, max_repeats=4.0)
+    return out.select(F.col("id").alias("doc_id"), "source", F.col("tokens").alias("n_tokens"), F.col("goal").alias("source_budget"), "repeats")
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
@@ -48,6 +53,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85).withColumnRenamed("id", "doc_id")
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encode(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), check=True)
+    digest = F.sha2(F.array_join(F.col("pieces").cast("array<string>"), ","), 256)
+    return out.select(F.col("id").alias("doc_id"), "n_pieces", digest.alias("pieces_sha256"), "round_trip")
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -58,8 +69,10 @@ QUERIES = {
     "op3_fingerprints": op3,
     "op4_exact_dedup": op4,
     "op5_token_counts": op5,
+    "op6_source_mixing": op6,
     "op7_url_filter": op7,
     "op8_minhash_near_dedup": op8,
+    "op9_sentencepiece": op9,
     "op10_pii": op10,
 }
 
@@ -101,6 +114,41 @@ low AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
 SELECT doc_id, len(g)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id,
        doc_id = least(doc_id, coalesce(m, doc_id)) AS kept
 FROM s LEFT JOIN low ON x = doc_id
+""",
+    "op6_source_mixing": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n,
+         md5('mix|' || coalesce('=' || doc_id, '') || '|' || coalesce('=' || source, '') || '|' || md5(coalesce('=' || text, ''))) AS place
+  FROM documents),
+t AS (SELECT source, sum(n)::BIGINT AS t FROM d GROUP BY source),
+k AS (SELECT list(t::DOUBLE) AS ts, sum(t)::DOUBLE AS total, min(t)::DOUBLE AS least, count(*) AS m FROM t WHERE t > 0),
+p AS (SELECT list_transform(ts, lambda x: ln(x / total)) AS l, total, least, m,
+             -list_sum(list_transform(ts, lambda x: x / total * ln(x / total))) AS nat0 FROM k),
+goal AS (SELECT l, total, least, m, nat0 + 0.5::DOUBLE * (ln(m::DOUBLE) - nat0) AS target FROM p),
+step(i, lo, hi) AS (
+  SELECT 0, 0::DOUBLE, 1::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END
+  FROM (
+    SELECT i, lo, hi, mid, ln(z) - mid * s / z >= target OR exp((mid - 1) * ln(least / total)) / z > 4 AS up
+    FROM (
+      SELECT i, lo, hi, mid, target, least, total,
+             list_sum(list_transform(l, lambda x: exp(mid * x))) AS z, list_sum(list_transform(l, lambda x: exp(mid * x) * x)) AS s
+      FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid, goal.* FROM step, goal WHERE i < 30)))),
+found AS (
+  SELECT CASE WHEN m <= 1 THEN 1 WHEN ln(z) - lo * s / z >= target AND NOT exp((lo - 1) * ln(least / total)) / z > 4 THEN lo ELSE hi END AS alpha
+  FROM (SELECT lo, hi, m, target, least, total, list_sum(list_transform(l, lambda x: exp(lo * x))) AS z,
+               list_sum(list_transform(l, lambda x: exp(lo * x) * x)) AS s FROM step, goal WHERE i = 30)),
+b AS (
+  SELECT source, t, CASE WHEN t > 0 THEN round(exp(alpha * ln(t / total)) / list_sum(list_transform(l, lambda x: exp(alpha * x))) * total)::BIGINT ELSE 1 END AS budget
+  FROM t, found, goal),
+c AS (SELECT source, budget, CASE WHEN t > 0 THEN budget // t ELSE 1 END AS passes, CASE WHEN t > 0 THEN budget % t ELSE -1 END AS rest FROM b),
+run AS (
+  SELECT doc_id, d.source, n, budget, passes, rest,
+         sum(n) OVER (PARTITION BY d.source ORDER BY md5(passes || ':' || place[1:2]), md5(passes || ':' || place[1:4]), md5(passes || ':' || place)) AS upto
+  FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source)
+SELECT doc_id, source, n AS n_tokens, budget AS source_budget, passes + (rest >= 0 AND upto <= rest)::BIGINT AS repeats
+FROM run
 """,
     "op7_url_filter": r"""
 WITH RECURSIVE raw AS (
