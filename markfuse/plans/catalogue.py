@@ -2,5 +2,384 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from markfuse.operators import align, alt, assess, cells, fuse, gaps, normalize, ocr, postprocess, profile, score
+from markfuse.plans import views
+from markfuse.session import table
+
+LABELS = ["a", "b"]
+_PLANS = {"small": "fast", "medium": "cost_effective", "large": "agentic", "xlarge": "agentic_plus"}
+
+
+def doc_profile(spark: SparkSession, sf: str) -> DataFrame:
+    p = profile.profile(views.of(spark, sf, views.md_nation))
+    # a missing file has no figures: 0 here
+    return p.select(F.col("doc").alias("nation"), "parser", "exists", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("lines", "chars", "headings", "tables")))
+
+
+def heading_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    g = gaps.heading_gaps(views.of(spark, sf, views.md_nation))
+    return g.select(F.col("doc").alias("nation"), F.col("title").alias("heading"), F.array_join("files", ";").alias("in_files"))
+
+
+def fusion_recommendation(spark: SparkSession, sf: str) -> DataFrame:
+    return gaps.recommend(views.of(spark, sf, views.md_nation)).withColumnRenamed("doc", "nation")
+
+
+def presence_vote(spark: SparkSession, sf: str) -> DataFrame:
+    v = gaps.presence_vote(views.of(spark, sf, views.md_nation))
+    return v.select(F.col("doc").alias("nation"), F.col("title").alias("heading"), "n_parsers", "keep")
+
+
+def fused_name(spark: SparkSession, sf: str) -> DataFrame:
+    f = fuse.fuse(views.of(spark, sf, views.md_nation))
+    return f.select(F.col("doc").alias("nation"), fuse.fused_name(F.concat(F.lit("nation"), F.col("doc").cast("string")), F.col("contributors")).alias("file_name"), "inserted", profile.line_count("markdown").cast("long").alias("lines"))
+
+
+def assess_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return assess.assess_pages(None, views.of(spark, sf, views.doc_pages), middle=True)
+
+
+def _with_lang(assessed: DataFrame) -> DataFrame:
+    lang = F.when(F.col("doc_id") % 3 == 0, "en").otherwise("ko")
+    return assessed.select("*", F.lit("pdf").alias("format"), lang.alias("lang"))
+
+
+def recommend_parsers(spark: SparkSession, sf: str) -> DataFrame:
+    a = assess.recommend(_with_lang(assess.assess_pages(None, views.of(spark, sf, views.doc_pages))))
+    return a.select("doc_id", "tier", F.array_join("parsers", ",").alias("parsers"))
+
+
+def credit_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    a = assess.assess_pages(None, views.of(spark, sf, views.doc_pages))
+    plan = F.create_map(*(F.lit(x) for kv in _PLANS.items() for x in kv))[F.col("tier")]
+    return a.select("doc_id", "tier", assess.credits(F.col("pages"), plan).alias("credits"))
+
+
+def _normalized(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize.normalize(views.of(spark, sf, views.odl_lines))
+
+
+def normalize_drops(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _normalized(spark, sf).where(F.col("rule").isin("page_sep", "page_comment", "image", "cover", "cover_body", "title_repeat"))
+    return rows.groupBy(F.col("doc").alias("doc_id"), "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def normalize_headings(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _normalized(spark, sf).where("level IS NOT NULL")
+    return rows.select(F.col("doc").alias("doc_id"), "pos", "level", "text")
+
+
+def normalize_blanks(spark: SparkSession, sf: str) -> DataFrame:
+    s = normalize.statistics(_normalized(spark, sf))
+    return s.select(F.col("doc").alias("doc_id"), "in_lines", "out_lines", "blank_compressed")
+
+
+def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
+    a = normalize.assemble(_normalized(spark, sf))
+    return a.select(F.col("doc").alias("doc_id"), F.sha2("markdown", 256).alias("sha256"))
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+PER_PAGE = 100
+
+
+def _ocr_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, page_no, words with confidences: documents cut into pages of 100 words, row by row."""
+    docs = table(spark, sf, "documents").select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)).alias("w"))
+    pages = docs.where(F.size("w") > 0).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / PER_PAGE).cast("int"))).alias("p"))
+    part = F.slice("w", F.col("p") * PER_PAGE + 1, F.lit(PER_PAGE))
+    conf = lambda i: ((F.col("doc_id") * 31 + (F.col("p") * PER_PAGE + i) * 17) % 100) / F.lit(100.0)
+    words = F.transform(part, lambda x, i: F.struct(x.alias("text"), conf(i).alias("confidence")))
+    return pages.select("doc_id", (F.col("p") + 1).cast("long").alias("page_no"), words.alias("words"))
+
+
+def low_confidence_words(spark: SparkSession, sf: str) -> DataFrame:
+    p = _ocr_pages(spark, sf)
+    return p.select("doc_id", "page_no", F.size("words").cast("long").alias("n_words"), F.size(ocr.low_words("words")).cast("long").alias("n_low"))
+
+
+def review_targets(spark: SparkSession, sf: str) -> DataFrame:
+    p = _ocr_pages(spark, sf).withColumn("low", ocr.low_words("words", 0.10))
+    text = F.array_join(F.transform("words", lambda w: w["text"]), " ")
+    p = p.select("doc_id", "page_no", ocr.page_text(F.col("page_no"), text, F.col("low")).alias("t"))
+    found = ocr.parse_low("t")
+    shown = F.transform(found, lambda w: F.concat(w["word"], F.lit("="), F.round(w["confidence"] * 100).cast("int").cast("string")))
+    return p.select("doc_id", "page_no", F.size(found).cast("long").alias("n_low"), F.array_join(shown, ";").alias("low_words"))
+
+
+def draft_lines(spark: SparkSession, sf: str) -> DataFrame:
+    d = ocr.draft_pages(views.of(spark, sf, views.draft_docs), "doc_id")
+    return d.select("doc_id", "page_no", F.size("lines").cast("long").alias("n_lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("lines_sha256"), "low")
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return score.paired(score.parse_items(views.of(spark, sf, views.transcripts)), LABELS)
+
+
+def char_error_items(spark: SparkSession, sf: str) -> DataFrame:
+    return score.score_items(_pairs(spark, sf), with_words=False).select("doc", "label", "item_id", "ref_len", "dist", "dist_folded")
+
+
+def char_error_summary(spark: SparkSession, sf: str) -> DataFrame:
+    s = score.score_items(_pairs(spark, sf), with_words=False).where("ref_len > 0")
+    return s.groupBy("label").agg(F.sum("dist").alias("sum_dist"), F.sum("dist_folded").alias("sum_dist_folded"), F.sum("ref_len").alias("sum_len"), F.count(F.lit(1)).alias("items"))
+
+
+def word_error_items(spark: SparkSession, sf: str) -> DataFrame:
+    return score.score_items(_pairs(spark, sf)).select("doc", "label", "item_id", "ref_words", "word_dist", "wer")
+
+
+def score_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return score.summarise(score.score_items(_pairs(spark, sf)))
+
+
+def id_mismatch(spark: SparkSession, sf: str) -> DataFrame:
+    return score.mismatched(_pairs(spark, sf))
+
+
+def token_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    found = align.targets(views.of(spark, sf, views.page_pairs))
+    rows = found.select(F.col("doc").alias("doc_id"), F.explode("divergences").alias("d")).select("doc_id", "d.tag")
+    return rows.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+PARSERS = ["upstage", "mistral", "llamaparse", "gemini"]
+
+
+def cell_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    return cells.conflicts(views.of(spark, sf, views.cells), ["t", "r", "col_no"], PARSERS)
+
+
+def row_sum_check(spark: SparkSession, sf: str) -> DataFrame:
+    s = cells.row_sums(views.of(spark, sf, views.cells), ["t", "r"], total_col=3, value=F.col("value").try_cast("bigint"))
+    return s.select("t", "r", "parser", "ok")
+
+
+def cell_majority(spark: SparkSession, sf: str) -> DataFrame:
+    return cells.majority(views.of(spark, sf, views.cells), ["t", "r", "col_no"])
+
+
+def table_cells(spark: SparkSession, sf: str) -> DataFrame:
+    t = views.of(spark, sf, views.md_nation).where("markdown IS NOT NULL")
+    c = cells.parse_tables(t, "doc", "parser")
+    return c.groupBy(F.col("doc").alias("nation"), "parser", "col_no").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col("value").try_cast("bigint"), F.lit(0))).alias("total"))
+
+
+def char_multiset_recall(spark: SparkSession, sf: str) -> DataFrame:
+    p = views.of(spark, sf, views.md_page)
+    matched, total = fuse.recall(F.col("source"), F.col("markdown"))
+    return p.select("page_id", matched.alias("matched"), total.alias("total"))
+
+
+def running_headers(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
+    return postprocess.running_lines(lines).withColumnRenamed("doc", "doc_id")
+
+
+def image_placeholders(spark: SparkSession, sf: str) -> DataFrame:
+    i = alt.extract_images(views.of(spark, sf, views.alt_docs))
+    return i.select(F.col("doc").alias("doc_id"), "page", "image_index", "alt", "placeholder")
+
+
+def alt_injection(spark: SparkSession, sf: str) -> DataFrame:
+    docs = views.of(spark, sf, views.alt_docs)
+    images = alt.extract_images(docs).where("page % 2 = 0")
+    known = images.select("doc", "placeholder", F.concat(F.lit("그림 "), F.col("page").cast("string")).alias("ko_alt"))
+    new = alt.inject(docs, known)
+    return new.select(F.col("doc").alias("doc_id"), F.col("replaced").cast("long").alias("replaced"), F.col("unmapped").cast("long").alias("unmapped"), F.sha2("markdown", 256).alias("sha256"))
+
+
+def strip_page_tags(spark: SparkSession, sf: str) -> DataFrame:
+    p = views.of(spark, sf, views.md_page)
+    tagged = F.replace(F.replace("markdown", F.lit("\n- "), F.lit("\n °\n <page_number>\n3</page_number>\n- ")), F.lit("# "), F.lit("# (이미지: icon) "))
+    out = postprocess.strip_page_numbers(postprocess.strip_degree_lines(postprocess.strip_heading_icons(tagged)))
+    return p.select("page_id", F.length(out).cast("long").alias("n_chars_after"), F.sha2(out, 256).alias("sha256"))
+
+
+def noise_elements(spark: SparkSession, sf: str) -> DataFrame:
+    html = F.coalesce("html", F.lit(""))
+
+    def found(tag: str, category: str):
+        return F.transform(F.regexp_extract_all(html, F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1)), lambda x: F.struct(F.lit(category).alias("category"), F.struct(x.alias("markdown")).alias("content")))
+
+    elements = F.concat(found("nav", "header"), found("p", "paragraph"), found("footer", "footer"))
+    p = table(spark, sf, "pages").select("page_id", elements.alias("e"))
+    removed = ocr.noise_count("e")
+    text = ocr.join_elements("e")
+    return p.select("page_id", (F.size("e") - removed).cast("long").alias("kept"), removed.cast("long").alias("removed"), F.sha2(text, 256).alias("sha256"))
+
+
+QUERIES: dict = {
+    f.__name__: f
+    for f in (
+        doc_profile, heading_gaps, fusion_recommendation, presence_vote, fused_name, assess_documents, recommend_parsers, credit_estimate,
+        normalize_drops, normalize_headings, normalize_blanks, normalize_text, low_confidence_words, review_targets, draft_lines,
+        char_error_items, char_error_summary, word_error_items, score_summary, id_mismatch, token_divergence,
+        cell_conflicts, row_sum_check, cell_majority, table_cells, char_multiset_recall, running_headers,
+        image_placeholders, alt_injection, strip_page_tags, noise_elements,
+    )
+}
+
+# ---------------------------------------------------------------- oracles
+
+_MD = f"o AS ({views.sql(views.md_nation)})"
+_LINES = """l AS (SELECT doc, parser, role, sec_ord, file, unnest(range(len(x))) AS pos, unnest(x) AS line
+  FROM (SELECT *, string_split(markdown, chr(10)) AS x FROM o WHERE markdown IS NOT NULL)),
+h AS (SELECT doc, parser, role, sec_ord, file, pos, trim(regexp_extract(line, '^#{1,6}\\s+(.+)', 1)) AS title FROM l
+      WHERE regexp_matches(line, '^#{1,6}\\s+.+')),
+heads AS (SELECT * FROM h WHERE length(title) > 1 AND NOT regexp_full_match(title, '\\d+'))"""
+_GAPS = """gap AS (SELECT s.doc, s.title, s.sec_ord, s.pos, s.file, s.parser FROM heads s
+  WHERE s.role = 'secondary' AND EXISTS (SELECT 1 FROM o WHERE o.doc = s.doc AND o.role = 'primary' AND o.markdown IS NOT NULL)
+    AND NOT EXISTS (SELECT 1 FROM heads p WHERE p.role = 'primary' AND p.doc = s.doc AND p.title = s.title))"""
+_PROFILE = """prof AS (SELECT o.doc, o.parser, o.role, o.markdown IS NOT NULL AS ex, len(string_split(markdown, chr(10))) AS lines, length(markdown) AS chars,
+  CASE WHEN markdown IS NOT NULL THEN (SELECT count(*) FROM heads WHERE heads.doc = o.doc AND heads.parser = o.parser) END AS headings FROM o)"""
+
+_ASSESS = f"""p AS ({views.sql(views.doc_pages)}),
+s AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN page_no <= 3 THEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) ELSE 0 END) AS chars,
+             sum(CASE WHEN page_no <= 10 AND (contains(text, '|') OR length(text) - length(replace(text, chr(9), '')) > 3) THEN 1 ELSE 0 END) AS tab
+      FROM p GROUP BY doc_id),
+mid AS (SELECT p.doc_id, sum(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) > 50 * count(*) AS again
+        FROM p JOIN s USING (doc_id) WHERE abs(page_no - n // 2 - 1) <= 1 GROUP BY p.doc_id),
+a AS (SELECT doc_id, n AS pages, chars > 50 * least(3, n) AS has_text_layer, tab >= least(10, n) * 0.3::DECIMAL(2, 1) AS table_hint,
+             least(3, CASE WHEN n <= 15 THEN 0 WHEN n <= 60 THEN 1 WHEN n <= 100 THEN 2 ELSE 3 END + CASE WHEN chars > 50 * least(3, n) THEN 0 ELSE 1 END) AS ti FROM s),
+t AS (SELECT doc_id, pages, has_text_layer, table_hint, ['small', 'medium', 'large', 'xlarge'][ti + 1] AS tier FROM a)"""
+
+_NORM = f"""src AS ({views.sql(views.odl_lines)}),
+r AS (SELECT doc, pos, line, row_number() OVER (PARTITION BY doc ORDER BY pos) AS i, trim(line) AS s, trim(line) = '' AS blank FROM src),
+ttl AS (SELECT doc, trim(regexp_extract(arg_min(line, i), '^##\\s+(.*)', 1)) AS doc_title FROM r WHERE regexp_matches(line, '^##\\s') GROUP BY doc),
+cov AS (SELECT DISTINCT a.doc, a.i FROM r a JOIN r b ON a.doc = b.doc AND b.i BETWEEN a.i + 1 AND a.i + 49
+        WHERE regexp_matches(a.s, '^#\\s+(Ⅰ|Ⅱ|Ⅲ|Ⅳ|Ⅴ|Ⅵ|Ⅶ|Ⅷ|Ⅸ|Ⅹ|부록)$') AND starts_with(b.s, '###### ' || regexp_extract(a.s, '^#\\s+(.*)$', 1) || '.')),
+b AS (SELECT r.*, cov.i IS NOT NULL AS cover, s = '---' OR regexp_matches(s, '^#{{1,6}}\\s') AS border FROM r LEFT JOIN cov USING (doc, i)),
+seg AS (SELECT *, sum(border::INT) OVER (PARTITION BY doc ORDER BY i) AS g FROM b),
+cs AS (SELECT *, max((border AND cover)::INT) OVER (PARTITION BY doc, g) = 1 AS gone_cover FROM seg),
+f AS (SELECT *, CASE WHEN gone_cover THEN CASE WHEN cover THEN 'cover' ELSE 'cover_body' END WHEN s = '---' THEN 'page_sep'
+                WHEN regexp_matches(s, '^<!--\\s*Page\\s+\\d+') THEN 'page_comment' WHEN starts_with(s, '![') OR regexp_matches(s, '^<fig(ure|caption)') THEN 'image' END AS gone,
+             coalesce(lead(blank) OVER (PARTITION BY doc ORDER BY i), true) AS next_blank FROM cs),
+e AS (SELECT doc, i, coalesce(lag(blank) OVER (PARTITION BY doc ORDER BY i), true) AS prev_blank FROM f WHERE gone IS NULL),
+k AS (SELECT f.*, doc_title, coalesce(prev_blank, true) AND next_blank AS alone, trim(regexp_extract(line, '^######\\s+(.*)', 1)) AS c, regexp_matches(line, '^######\\s') AS sixth
+      FROM f LEFT JOIN e USING (doc, i) LEFT JOIN ttl USING (doc)),
+lv AS (SELECT *, CASE WHEN NOT sixth OR contains(c, '····') OR contains(c, '…………') THEN NULL
+                      WHEN regexp_matches(c, '^[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ][.\\s]') OR c = '목차' OR regexp_matches(c, '^[\\[〔]?부록') OR starts_with(c, '참고문헌') THEN 1
+                      WHEN regexp_matches(c, '^[<〈]?(표|그림)\\s*목차') OR regexp_matches(c, '^\\d+\\.\\s') THEN 2
+                      WHEN regexp_matches(c, '^\\d+\\)\\s') THEN 3 WHEN regexp_matches(c, '^\\(\\d+\\)\\s') THEN 4
+                      WHEN regexp_matches(c, '^[①②③④⑤⑥⑦⑧⑨⑩]') OR regexp_matches(c, '^[가나다라마바사아자차카타파하]\\.\\s') THEN 5 ELSE 3 END AS l6,
+             CASE WHEN starts_with(s, '#') OR starts_with(s, '|') OR length(s) >= 80 THEN NULL WHEN regexp_matches(s, '^\\d+\\)\\s+\\S') THEN 3 WHEN regexp_matches(s, '^\\(\\d+\\)\\s+\\S') THEN 4
+                  WHEN length(s) < 60 AND (regexp_matches(s, '^[①②③④⑤⑥⑦⑧⑨⑩]\\s') OR regexp_matches(s, '^[가나다라마바사아자차카타파하]\\.\\s')) THEN 5 END AS l7 FROM k),
+ru AS (SELECT *, CASE WHEN gone IS NOT NULL THEN gone WHEN doc_title <> '' AND s = doc_title AND alone THEN 'title_repeat' WHEN l6 IS NOT NULL THEN 'h6'
+                      WHEN NOT blank AND alone AND l7 IS NOT NULL THEN 'promoted' ELSE 'kept' END AS rule FROM lv),
+em AS (SELECT *, CASE rule WHEN 'h6' THEN repeat('#', l6) || ' ' || c WHEN 'promoted' THEN repeat('#', l7) || ' ' || s ELSE line END AS text,
+              row_number() OVER (PARTITION BY doc ORDER BY i) AS n FROM ru WHERE rule IN ('h6', 'promoted', 'kept')),
+isl AS (SELECT *, n - row_number() OVER (PARTITION BY doc, blank ORDER BY i) AS island FROM em),
+bl AS (SELECT *, row_number() OVER (PARTITION BY doc, blank, island ORDER BY i) AS nth, min(CASE WHEN NOT blank THEN n END) OVER (PARTITION BY doc) AS first_full FROM isl)"""
+
+_PAGES = r"""d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word FROM d),
+c AS (SELECT doc_id, pos // 100 + 1 AS page_no, pos, word, ((doc_id * 31 + pos * 17) % 100) AS cent FROM w)"""
+
+_ITEMS = f"""raw AS ({views.sql(views.items)}),
+it AS (SELECT label, doc, item_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '(?m)^\\s*---+\\s*$', ' ', 'g'), '(?m)^\\s*>.*$', ' ', 'g'),
+        '\\[[^\\]]*\\]', ' ', 'g'), '\\([^)]*[가-힣][^)]*\\)', ' ', 'g'), '\\s+', ' ', 'g')) AS body FROM raw),
+pr AS (SELECT c.doc, c.item_id, l.label, c.body AS ref, coalesce(x.body, '') AS hyp, x.body IS NULL AS missing
+       FROM it c CROSS JOIN (SELECT 'a' AS label UNION ALL SELECT 'b') l LEFT JOIN it x ON x.label = l.label AND x.doc = c.doc AND x.item_id = c.item_id WHERE c.label = 'canon'),
+sc AS (SELECT doc, label, item_id, length(ref) AS ref_len, levenshtein(ref, hyp) AS dist, levenshtein(lower(ref), lower(hyp)) AS dist_folded FROM pr)"""
+
+_CELLS = f"x AS ({views.sql(views.cells)})"
+_PAGE = f"p AS ({views.sql(views.md_page)})"
+_SHAPE = "CASE WHEN event_id % 3 = 0 THEN '_layout_ocr_ab' || event_id || '.png' ELSE '_image_' || (event_id % 7) || '_v2.jpg' END"
+_IMAGES = f"""e AS (SELECT user_id AS doc_id, event_id, (event_id % 5 + 1)::INT AS page, CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS alt FROM events),
+i AS (SELECT *, '![' || alt || '](page_' || page || {_SHAPE} || ')' AS placeholder,
+             (CASE WHEN event_id % 3 = 0 THEN 999 + row_number() OVER (PARTITION BY doc_id, page, event_id % 3 = 0 ORDER BY event_id) ELSE event_id % 7 END)::INT AS image_index FROM e)"""
+
+ORACLE: dict = {
+    "doc_profile": f"""WITH {_MD}, {_LINES}, {_PROFILE},
+bar AS (SELECT doc, parser, pos, starts_with(trim(line), '|') AS b FROM l),
+run AS (SELECT doc, parser, b AND NOT coalesce(lag(b) OVER (PARTITION BY doc, parser ORDER BY pos), false) AS first FROM bar),
+tab AS (SELECT doc, parser, sum(first::INT)::BIGINT AS tables FROM run GROUP BY doc, parser)
+SELECT prof.doc AS nation, prof.parser, ex AS "exists", coalesce(lines, 0) AS lines, coalesce(chars, 0) AS chars, coalesce(headings, 0) AS headings, coalesce(tables, 0) AS tables FROM prof LEFT JOIN tab USING (doc, parser)""",
+    "heading_gaps": f"""WITH {_MD}, {_LINES}, {_GAPS}
+SELECT doc AS nation, title AS heading, string_agg(file, ';' ORDER BY sec_ord, pos) AS in_files FROM gap GROUP BY doc, title""",
+    "fusion_recommendation": f"""WITH {_MD}, {_LINES}, {_GAPS}, {_PROFILE},
+g AS (SELECT doc, count(DISTINCT title) AS n FROM gap GROUP BY doc),
+d AS (SELECT doc, bool_or(role = 'primary' AND ex) AS has, max(CASE WHEN role = 'primary' THEN headings END) AS hs, max(CASE WHEN role = 'primary' THEN lines END) AS ls,
+             sum(CASE WHEN role = 'secondary' AND ex THEN 1 ELSE 0 END) AS sides, max(CASE WHEN role = 'secondary' THEN lines END) AS most FROM prof GROUP BY doc)
+SELECT d.doc AS nation, coalesce(n, 0) AS gap_count,
+  CASE WHEN NOT has THEN 'full_fusion' WHEN sides = 0 THEN 'primary_only' WHEN hs > 0 AND coalesce(n, 0) > hs / 10.0 THEN 'full_fusion' WHEN n > 0 THEN 'patch_needed'
+       WHEN most > ls * 1.3::DECIMAL(2, 1) THEN 'patch_needed' ELSE 'primary_only' END AS recommendation
+FROM d LEFT JOIN g USING (doc)""",
+    "presence_vote": f"""WITH {_MD}, {_LINES}
+SELECT doc AS nation, title AS heading, count(DISTINCT parser) AS n_parsers, count(DISTINCT parser) >= 2 AS keep FROM heads GROUP BY doc, title""",
+    "fused_name": f"""WITH {_MD}, {_LINES}, {_GAPS},
+prim AS (SELECT doc, len(string_split(markdown, chr(10))) AS n FROM o WHERE role = 'primary' AND markdown IS NOT NULL),
+-- every heading line opens a section, whatever its title
+sec AS (SELECT l.doc, l.parser, l.role, l.sec_ord, l.pos, l.line, sum(regexp_matches(line, '^#{{1,6}}\\s+\\S')::INT) OVER (PARTITION BY l.doc, l.parser ORDER BY l.pos) AS s FROM l),
+ttl AS (SELECT doc, parser, role, sec_ord, s, count(*) AS n, arg_min(trim(regexp_replace(line, '^#+', '')), pos) AS title FROM sec WHERE s > 0 GROUP BY doc, parser, role, sec_ord, s),
+new AS (SELECT t.*, row_number() OVER (PARTITION BY doc, title ORDER BY sec_ord, s) AS k FROM ttl t
+        WHERE role = 'secondary' AND doc IN (SELECT doc FROM prim) AND NOT EXISTS (SELECT 1 FROM ttl p WHERE p.role = 'primary' AND p.doc = t.doc AND p.title = t.title)),
+one AS (SELECT doc, count(*) AS inserted, sum(n) AS lines, bool_or(parser = 'gemini') AS g, bool_or(parser = 'opendataloader') AS d FROM new WHERE k = 1 GROUP BY doc)
+SELECT doc AS nation, 'nation' || doc || '_fused_v3_upstage' || CASE WHEN g THEN '+gemini' ELSE '' END || CASE WHEN d THEN '+opendataloader' ELSE '' END || '.md' AS file_name,
+       coalesce(inserted, 0) AS inserted, (prim.n + coalesce(lines, 0))::BIGINT AS lines
+FROM prim LEFT JOIN one USING (doc)""",
+    "assess_documents": f"WITH {_ASSESS} SELECT t.*, coalesce(again, false) AS text_layer_recheck FROM t LEFT JOIN mid USING (doc_id)",
+    "recommend_parsers": f"""WITH {_ASSESS}
+SELECT doc_id, tier, CASE tier WHEN 'small' THEN 'gemini' WHEN 'medium' THEN 'upstage,gemini' ELSE 'opendataloader,upstage' END
+  || CASE WHEN NOT has_text_layer AND tier = 'small' THEN ',upstage' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN ',mistral' ELSE '' END AS parsers FROM t""",
+    "credit_estimate": f"WITH {_ASSESS} SELECT doc_id, tier, pages * CASE tier WHEN 'small' THEN 1 WHEN 'medium' THEN 3 WHEN 'large' THEN 10 ELSE 45 END AS credits FROM t",
+    "normalize_drops": f"""WITH {_NORM} SELECT doc AS doc_id, rule, count(*) AS n FROM ru WHERE rule IN ('page_sep', 'page_comment', 'image', 'cover', 'cover_body', 'title_repeat') GROUP BY doc, rule""",
+    "normalize_headings": f"WITH {_NORM} SELECT doc AS doc_id, pos, CASE rule WHEN 'h6' THEN l6 ELSE l7 END AS level, text FROM em WHERE rule IN ('h6', 'promoted')",
+    "normalize_blanks": f"""WITH {_NORM}, tot AS (SELECT doc, count(*) AS n FROM src GROUP BY doc),
+k2 AS (SELECT doc, sum(CASE WHEN blank AND (nth > 2 OR first_full IS NULL OR n < first_full) THEN 0 ELSE 1 END)::BIGINT AS kept, sum(CASE WHEN blank AND nth > 2 THEN 1 ELSE 0 END)::BIGINT AS comp FROM bl GROUP BY doc)
+SELECT doc AS doc_id, tot.n AS in_lines, coalesce(kept, 0) AS out_lines, coalesce(comp, 0) AS blank_compressed FROM tot LEFT JOIN k2 USING (doc)""",
+    "normalize_text": f"""WITH {_NORM}, docs AS (SELECT DISTINCT doc FROM src),
+k2 AS (SELECT doc, string_agg(text || chr(10), '' ORDER BY i) AS t FROM bl WHERE NOT (blank AND (nth > 2 OR first_full IS NULL OR n < first_full)) GROUP BY doc)
+SELECT doc AS doc_id, sha256(coalesce(t, '')) AS sha256 FROM docs LEFT JOIN k2 USING (doc)""",
+    "low_confidence_words": f"WITH {_PAGES} SELECT doc_id, page_no, count(*) AS n_words, sum((cent / 100.0::DOUBLE < 0.9::DOUBLE)::INT)::BIGINT AS n_low FROM c GROUP BY doc_id, page_no",
+    "review_targets": f"""WITH {_PAGES},
+t AS (SELECT doc_id, page_no, coalesce(string_agg(CASE WHEN cent < 10 THEN word || '(0.0' || cent || ')' END, ', ' ORDER BY pos), '') AS low FROM c GROUP BY doc_id, page_no),
+f AS (SELECT doc_id, page_no, regexp_extract_all(low, '([^,(]+?)\\(([0-9.]+)\\)', 1) AS a, regexp_extract_all(low, '([^,(]+?)\\(([0-9.]+)\\)', 2) AS b FROM t)
+SELECT doc_id, page_no, len(a) AS n_low, array_to_string(list_transform(range(1, len(a) + 1), lambda i: trim(a[i]) || '=' || round(b[i]::DOUBLE * 100)::INT), ';') AS low_words FROM f""",
+    "draft_lines": r"""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS item FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+d AS (SELECT doc_id, (pos + 1)::INT AS page_no, pos, regexp_replace(item, '^\s+|\s+$', '', 'g') AS s FROM l)
+SELECT doc_id, page_no, (regexp_matches(s, '[A-Za-z]') AND NOT regexp_matches(s, '[가-힣]'))::BIGINT AS n_lines,
+       sha256(CASE WHEN regexp_matches(s, '[A-Za-z]') AND NOT regexp_matches(s, '[가-힣]') THEN s ELSE '' END) AS lines_sha256, CASE WHEN pos % 3 = 1 THEN 'ab(0.50), cd(0.75)' ELSE '' END AS low FROM d""",
+    "char_error_items": f"WITH {_ITEMS} SELECT * FROM sc",
+    "char_error_summary": f"WITH {_ITEMS} SELECT label, sum(dist)::BIGINT AS sum_dist, sum(dist_folded)::BIGINT AS sum_dist_folded, sum(ref_len)::BIGINT AS sum_len, count(*) AS items FROM sc WHERE ref_len > 0 GROUP BY label",
+    "id_mismatch": f"""WITH {_ITEMS}
+SELECT doc, label, item_id, 'missing' AS side FROM pr WHERE missing
+UNION ALL SELECT x.doc, x.label, x.item_id, 'extra' FROM it x WHERE x.label <> 'canon' AND NOT EXISTS (SELECT 1 FROM it c WHERE c.label = 'canon' AND c.doc = x.doc AND c.item_id = x.item_id)""",
+    "cell_conflicts": f"""WITH {_CELLS},
+w AS (SELECT t, r, col_no, max(CASE WHEN parser = 'upstage' THEN value END) AS u, max(CASE WHEN parser = 'mistral' THEN value END) AS m, max(CASE WHEN parser = 'llamaparse' THEN value END) AS l,
+             max(CASE WHEN parser = 'gemini' THEN value END) AS g FROM x GROUP BY t, r, col_no)
+SELECT t, r, col_no, 'upstage=' || u || ';mistral=' || m || ';llamaparse=' || l || ';gemini=' || g AS "values" FROM w WHERE NOT (u = m AND u = l AND u = g)""",
+    "row_sum_check": f"WITH {_CELLS} SELECT t, r, parser, sum(CASE WHEN col_no < 3 THEN value::BIGINT ELSE 0 END) = max(CASE WHEN col_no = 3 THEN value::BIGINT END) AS ok FROM x GROUP BY t, r, parser",
+    "cell_majority": f"""WITH {_CELLS},
+v AS (SELECT t, r, col_no, value, count(*) AS votes, min(CASE parser WHEN 'upstage' THEN 1 WHEN 'llamaparse' THEN 2 ELSE 3 END) AS rank FROM x WHERE parser <> 'gemini' GROUP BY t, r, col_no, value),
+k AS (SELECT *, row_number() OVER (PARTITION BY t, r, col_no ORDER BY votes DESC, rank) AS n FROM v)
+SELECT t, r, col_no, value, votes, votes >= 2 AS settled FROM k WHERE n = 1""",
+    "table_cells": f"""WITH {_MD}, {_LINES},
+c AS (SELECT doc, parser, string_split(line, '|') AS p FROM l WHERE starts_with(line, '|') AND NOT starts_with(line, '|--')),
+e AS (SELECT doc, parser, unnest([0, 1]) AS col_no, unnest([trim(p[2]), trim(p[3])]) AS v FROM c)
+SELECT doc AS nation, parser, col_no, count(*) AS n, sum(coalesce(try_cast(v AS BIGINT), 0))::BIGINT AS total FROM e GROUP BY doc, parser, col_no""",
+    "char_multiset_recall": f"""WITH {_PAGE},
+b AS (SELECT page_id, regexp_replace(source, '\\s+', '', 'g') AS a, regexp_replace(markdown, '\\s+', '', 'g') AS m FROM p),
+x AS (SELECT page_id, ch, count(*) AS n FROM (SELECT page_id, unnest(string_split(a, '')) AS ch FROM b) GROUP BY page_id, ch),
+y AS (SELECT page_id, ch, count(*) AS n FROM (SELECT page_id, unnest(string_split(m, '')) AS ch FROM b) GROUP BY page_id, ch),
+z AS (SELECT page_id, sum(least(x.n, coalesce(y.n, 0)))::BIGINT AS matched FROM x LEFT JOIN y USING (page_id, ch) GROUP BY page_id)
+SELECT page_id, coalesce(matched, 0) AS matched, length(a) AS total FROM b LEFT JOIN z USING (page_id)""",
+    "running_headers": r"""WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split(coalesce(text, ''), chr(10))), '^\s+|\s+$', '', 'g') AS line FROM documents)
+SELECT doc_id, line, count(*) AS n FROM l WHERE line <> '' GROUP BY doc_id, line HAVING count(*) >= 3""",
+    "image_placeholders": f"WITH {_IMAGES} SELECT doc_id, page, image_index, alt, placeholder FROM i",
+    "alt_injection": f"""WITH {_IMAGES},
+n AS (SELECT doc_id, event_id, page % 2 = 0 AS hit, CASE WHEN page % 2 = 0 THEN '(이미지: 그림 ' || page || ')' WHEN alt = '' THEN '' ELSE '(이미지: ' || alt || ')' END AS t FROM i)
+SELECT doc_id, sum(hit::INT)::BIGINT AS replaced, sum((NOT hit)::INT)::BIGINT AS unmapped, sha256(string_agg(t, ' ' ORDER BY event_id)) AS sha256 FROM n GROUP BY doc_id""",
+    "strip_page_tags": f"""WITH {_PAGE},
+t AS (SELECT page_id, replace(replace(markdown, chr(10) || '- ', chr(10) || ' °' || chr(10) || ' <page_number>' || chr(10) || '3</page_number>' || chr(10) || '- '), '# ', '# (이미지: icon) ') AS m FROM p),
+c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '(?m)^(#+) \\(이미지:[^)\\n]*\\) (.+)$', '\\1 \\2', 'g'), '(?m)^[ \\t]*°[ \\t]*(?:\\n|$)', '', 'g'),
+        '(?s)\\s*<page_number>.*?</page_number>\\s*', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS m FROM t)
+SELECT page_id, length(m) AS n_chars_after, sha256(m) AS sha256 FROM c""",
+    "noise_elements": r"""WITH e AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?s)<nav>(.*?)</nav>', 1) AS h, regexp_extract_all(coalesce(html, ''), '(?s)<p>(.*?)</p>', 1) AS p,
+  regexp_extract_all(coalesce(html, ''), '(?s)<footer>(.*?)</footer>', 1) AS f FROM pages)
+SELECT page_id, len(p) AS kept, len(h) + len(f) AS removed, sha256(coalesce(array_to_string(list_filter(p, lambda x: x <> ''), chr(10) || chr(10)), '')) AS sha256 FROM e""",
+}
