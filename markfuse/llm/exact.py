@@ -77,6 +77,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", track
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", track: int = 4096) -> DataFrame:
-    """The rows of docs that stay, with all their columns and one row per kept id."""
-    gone = judge(docs, id_col, text_col, track).where(~F.col("kept")).select(F.col("id").alias("__gone_id"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone_id")), "left_anti")
+    """One row of docs for each group of equal texts, with all its columns: the row that judge() keeps,
+    and of rows that repeat both id and text any one."""
+    verdicts = judge(docs, id_col, text_col, track).where(~F.col("kept") | (F.col("group_size") > 1))
+    marks = verdicts.groupBy(F.col("id").alias("__id"), F.col("digest").alias("__digest")).agg(
+        F.bool_or("kept").alias("__kept"), F.count(F.lit(1)).alias("__times")
+    )
+    marks = stage(marks.where(~F.col("__kept") | (F.col("__times") > 1)), "marks")
+    own = F.unhex(F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), BLANK, ""), 256))
+    keyed = docs.withColumn("__own", own)
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
+    single = keyed.join(marks, same, "left_anti")
+    repeated = keyed.join(marks.where("__kept"), same, "left_semi").dropDuplicates([id_col, "__own"])
+    return single.unionByName(repeated).drop("__own")

@@ -41,7 +41,7 @@ TOP = np.uint64(2**64 - 1)
 def lengths(window: int) -> list[int]:
     """The lengths of the levels, each at most twice the one before."""
     out = [window]
-    while len(out) < 3 and out[0] > 2:
+    while len(out) < 3:
         out.insert(0, -(-out[0] // 2))
     return out
 
@@ -178,8 +178,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     """Per row: id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and, if
     asked for, kept_text. Ids must be integers."""
     ship(docs.sparkSession)
-    if window < 4:
-        raise ValueError("a window has four words at least")
+    if window < 2:
+        raise ValueError("a window has two words at least")
     quarter, half, _ = lengths(window)
     slim = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
