@@ -15,6 +15,9 @@ from markfuse.session import table
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+PARSERS = ["'upstage'", "'gemini'", "'opendataloader'"]
+
+
 class Spark:
     def agg(self, x: str, sep: str, order: str) -> str:
         return f"listagg({x}, {sep}) WITHIN GROUP (ORDER BY {order})"
@@ -22,8 +25,9 @@ class Spark:
     def div(self, a: str, b: int) -> str:
         return f"({a} div {b})"
 
-    def numbers(self, a: int, b: int) -> str:
-        return f"(SELECT id AS i FROM range({a}, {b}))"
+    def times(self, name: str, values) -> str:
+        """After a FROM item: its rows once for each constant, as column `name`."""
+        return f"LATERAL VIEW explode(array({', '.join(map(str, values))})) x_{name} AS {name}"
 
     def each(self, source: str, array: str) -> str:
         """source's rows by element of the array: pos (from 0) and item."""
@@ -45,8 +49,8 @@ class Duck(Spark):
     def div(self, a: str, b: int) -> str:
         return f"({a} // {b})"
 
-    def numbers(self, a: int, b: int) -> str:
-        return f"(SELECT range AS i FROM range({a}, {b}))"
+    def times(self, name: str, values) -> str:
+        return f"CROSS JOIN (SELECT unnest([{', '.join(map(str, values))}]) AS {name}) x_{name}"
 
     def each(self, source: str, array: str) -> str:
         return f"(SELECT *, unnest(range(len({array}))) AS pos, unnest({array}) AS item FROM {source})"
@@ -65,8 +69,8 @@ def md_nation(d: Spark) -> str:
     headings, some have more, some files are missing."""
     body = d.agg("CASE WHEN parser = 'gemini' AND k % 4 = 1 AND a = 3 AND b >= 10 THEN txt || chr(10) ELSE txt END", "chr(10)", "a, g, b")
     return f"""
-  SELECT k AS doc, parser, role, sec_ord, parser || '_' || n_name || '.md' AS file,
-         CASE WHEN (k = 23 AND role = 'primary') OR (k = 24 AND role = 'secondary') THEN NULL ELSE {body} END AS markdown
+  SELECT k AS doc, parser, CASE parser WHEN 'upstage' THEN 'primary' ELSE 'secondary' END AS role, CASE parser WHEN 'upstage' THEN 0 WHEN 'gemini' THEN 1 ELSE 2 END AS sec_ord,
+         parser || '_' || n_name || '.md' AS file, CASE WHEN (k = 23 AND parser = 'upstage') OR (k = 24 AND parser <> 'upstage') THEN NULL ELSE {body} END AS markdown
   FROM (
     SELECT k, n_name, 0 AS a, '' AS g, 0 AS b, '# ' || r_name AS txt FROM (SELECT n_nationkey AS k, n_name, r_name FROM [nation] JOIN [region] ON n_regionkey = r_regionkey)
     UNION ALL SELECT n_nationkey, n_name, 0, '', 1, '' FROM [nation]
@@ -77,13 +81,13 @@ def md_nation(d: Spark) -> str:
     UNION ALL SELECT n_nationkey, n_name, 2, '', 2, '|---|---|' FROM [nation]
     UNION ALL SELECT s_nationkey, n_name, 2, '', 10 + s_suppkey, '| ' || s_suppkey || ' | ' || CAST(round(s_acctbal * 100) AS BIGINT) || ' |' FROM [supplier] JOIN [nation] ON s_nationkey = n_nationkey
     UNION ALL SELECT n_nationkey, n_name, 3, g, i, CASE i WHEN 1 THEN '### ' || g WHEN 3 THEN '| key | cents |' WHEN 4 THEN '|---|---|' ELSE '' END
-      FROM [nation] CROSS JOIN (SELECT DISTINCT c_mktsegment AS g FROM [customer]) s CROSS JOIN {d.numbers(0, 5)} n
+      FROM [nation] CROSS JOIN (SELECT DISTINCT c_mktsegment AS g FROM [customer]) s {d.times("i", range(5))}
     UNION ALL SELECT c_nationkey, n_name, 3, c_mktsegment, 10 + c_custkey, '| ' || c_custkey || ' | ' || CAST(round(c_acctbal * 100) AS BIGINT) || ' |' FROM [customer] JOIN [nation] ON c_nationkey = n_nationkey
-    UNION ALL SELECT n_nationkey, n_name, 4, '', i, '#### Part ' || i FROM [nation] CROSS JOIN {d.numbers(1, 11)} n
-    UNION ALL SELECT n_nationkey, n_name, 5, '', i, CASE i WHEN 1 THEN '### 12' ELSE '### Annex ' || n_nationkey END FROM [nation] CROSS JOIN {d.numbers(0, 3)} n WHERE n_nationkey % 5 = 0
-  ) lines CROSS JOIN (SELECT 'upstage' AS parser, 'primary' AS role, 0 AS sec_ord UNION ALL SELECT 'gemini', 'secondary', 1 UNION ALL SELECT 'opendataloader', 'secondary', 2) p
+    UNION ALL SELECT n_nationkey, n_name, 4, '', i, '#### Part ' || i FROM [nation] {d.times("i", range(1, 11))}
+    UNION ALL SELECT n_nationkey, n_name, 5, '', i, CASE i WHEN 1 THEN '### 12' ELSE '### Annex ' || n_nationkey END FROM [nation] {d.times("i", range(3))} WHERE n_nationkey % 5 = 0
+  ) lines {d.times("parser", PARSERS)}
   WHERE NOT (parser = 'upstage' AND a = 3 AND b = 1 AND k % 7 = 0) AND NOT (a = 5 AND parser <> 'opendataloader')
-  GROUP BY k, n_name, parser, role, sec_ord"""
+  GROUP BY k, n_name, parser"""
 
 
 def doc_pages(d: Spark) -> str:
@@ -131,7 +135,7 @@ def items(d: Spark) -> str:
            CASE label WHEN 'canon' THEN CASE WHEN pos % 13 = 7 THEN '' ELSE item END
                       WHEN 'a' THEN CASE WHEN pos % 3 = 0 THEN replace(item, 'e', 'c') ELSE item || ' [note]' END
                       ELSE CASE WHEN pos % 2 = 0 THEN {d.sub("item", "^[^ ]+ ", "''")} ELSE item || ' (주의) extra' END END AS body
-    FROM {rows} x CROSS JOIN (SELECT 'canon' AS label UNION ALL SELECT 'a' UNION ALL SELECT 'b') l) y
+    FROM {rows} x {d.times("label", ["'canon'", "'a'", "'b'"])}) y
   WHERE NOT (label = 'a' AND pos % 11 = 5)
   UNION ALL SELECT DISTINCT 'b', conv_id, 100000000, '99999', 'extra' FROM [conversations] WHERE conv_id % 10 = 0"""
 
@@ -160,7 +164,7 @@ def cells(d: Spark) -> str:
   SELECT t, r, parser, CAST(i AS INT) AS col_no, CAST(CAST({value.replace("col_no", "i")} AS BIGINT) AS {d.text}) AS value
   FROM (SELECT l_orderkey AS t, l_linenumber AS r, sum(CAST(l_quantity AS BIGINT)) AS q, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents, count(*) AS n
         FROM [lineitem] GROUP BY l_orderkey, l_linenumber) g
-  CROSS JOIN (SELECT 'upstage' AS parser UNION ALL SELECT 'mistral' UNION ALL SELECT 'llamaparse' UNION ALL SELECT 'gemini') p CROSS JOIN {d.numbers(0, 4)} c"""
+  {d.times("parser", ["'upstage'", "'mistral'", "'llamaparse'", "'gemini'"])} {d.times("i", range(4))}"""
 
 
 def md_page(d: Spark) -> str:
