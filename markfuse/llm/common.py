@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 _own: list[str] = []
@@ -78,6 +79,37 @@ def unstage(df: DataFrame) -> None:
             _written.remove(item)
 
 
+BUCKET = 1 << 15  # bits of a bitmap
+
+
+def _marked(rows: DataFrame, keys: DataFrame, column: str, bits: int, how: str) -> DataFrame:
+    """rows plus __maybe: whether `column` may be among keys' single column."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    marks = keys.select(place(F.col(keys.columns[0])).alias("__p"))
+    maps = marks.groupBy(F.expr(f"__p div {BUCKET}").alias("__b")).agg(F.bitmap_construct_agg(F.expr(f"__p % {BUCKET}")).alias("__bits"))
+    at = rows.withColumn("__p", place(F.col(column)))
+    met = at.join(F.broadcast(maps), F.expr(f"__p div {BUCKET}") == F.col("__b"), how)
+    byte = F.expr(f"cast(conv(hex(substring(__bits, cast((__p % {BUCKET}) div 8 as int) + 1, 1)), 16, 10) as int)")
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(__p % 8 as int))")) != 0
+    return met.select(*(F.col(f"`{c}`") for c in rows.columns), F.coalesce(hit, F.lit(False)).alias("__maybe"))
+
+
+def sieve(rows: DataFrame, keys: DataFrame, column: str, bits: int = 1 << 26) -> DataFrame:
+    """Rows whose `column` may be among keys' single column, and all whose is: a Bloom filter of one hash
+    whose size is fixed (bits / 8 bytes, broadcast), to spare a shuffle most rows that will not match.
+    However many the keys, it loses none; with very many it merely lets more through."""
+    return _marked(rows, keys, column, bits, "inner").where("__maybe").drop("__maybe")
+
+
+def without(rows: DataFrame, keys: DataFrame, column: str, bits: int = 1 << 26) -> DataFrame:
+    """Rows whose `column` is not among keys' single column. Rows that the filter of sieve() clears pass
+    where they lie; only the rest are shuffled to meet the keys."""
+    marked = _marked(rows, keys, column, bits, "left")
+    rest = marked.where("__maybe").drop("__maybe")
+    gone = keys.select(F.col(keys.columns[0]).alias("__gone"))
+    return marked.where("NOT __maybe").drop("__maybe").unionByName(rest.join(gone, rest[f"`{column}`"].eqNullSafe(F.col("__gone")), "left_anti"))
+
+
 # ---------------------------------------------------------------- word hashing, vectorised
 
 WHITE = np.zeros(256, bool)

@@ -6,11 +6,12 @@ signature as its least value: two permutations stand for all bands x rows coordi
 
 Documents with equal shingle sets (by size and 128 bits of the set) form a class, represented by its
 smallest id, so copies cost one row and not pairs. In each band bucket the smallest representative is
-the centre and every other one is paired with it: a bucket of m gives m - 1 pairs. Pairs are verified
-on the full sets. Buckets whose members still lie in different components are then searched again,
-in blocks of bounded size: members of different components whose signatures do not put them clearly
-below the threshold, and whose distances to a pivot do not rule them out, are verified on the full
-sets. Only links leave a block, at most one for each pair of components in it. No pair of a bucket that
+the centre and every other one is paired with it: a bucket of m gives m - 1 pairs. Pairs whose
+signatures do not put them clearly below the threshold are verified on the full sets. Buckets whose
+members still lie in different components are then searched again, in blocks of bounded size: first the
+members that have a possible partner of another component there are found from the signatures; then
+only their full sets are fetched, and pairs that their distances to a pivot do not rule out are verified.
+Only links leave a block, at most one for each pair of components in it. No pair of a bucket that
 may matter to the components is skipped, and none within a component is looked at.
 
 With 30 bands of 6 rows a pair at similarity 0.85 shares no bucket with probability below 1e-6 (at
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from markfuse.session import ship
 
-from .common import LOWER, chunks, mix, stage, unstage, window_hashes, word_hashes, words
+from .common import LOWER, chunks, mix, sieve, stage, unstage, window_hashes, word_hashes, words
 from .graph import connected_components
 
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21  # rows and shingles of a block, about
@@ -130,6 +131,50 @@ def _similar(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def _likely(least: int):
+    """Pairs whose signatures agree on `least` coordinates or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+                yield batch.select([0, 1]).filter(pa.array((a == b).sum(1) >= least))
+
+    return run
+
+
+def _partners(p: int, same: bool, right: np.ndarray, label: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int, least: int) -> np.ndarray:
+    """Rows of a block that row p may be linked with: of another component, by size and by signature."""
+    q = right[right > p] if same else right
+    q = q[(label[q] != label[p]) & (100 * np.minimum(n[q], n[p]) >= percent * np.maximum(n[q], n[p]))]
+    return q[(sig[q] == sig[p]).sum(1) >= least] if len(q) else q
+
+
+def _block(table: pa.Table) -> tuple:
+    i, label, n, half = (table.column(k).to_numpy() for k in ("rep", "label", "n", "half"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(i), -1)
+    same = bool(table.column("same")[0].as_py())
+    left, right = (np.arange(len(i)), np.arange(len(i))) if same else (np.flatnonzero(half == 0), np.flatnonzero(half == 1))
+    return i, label, n, sig, same, left, right
+
+
+def _open(percent: int, least: int):
+    """Rows of a block pair that have a possible partner there; no full set is needed to tell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_key(batches):
+            _, label, n, sig, same, left, right = _block(table)
+            hit = np.zeros(len(label), bool)
+            for p in left:
+                q = _partners(p, same, right, label, n, sig, percent, least)
+                if len(q):
+                    hit[q] = hit[p] = True
+            if hit.any():
+                yield from table.filter(pa.array(hit)).to_batches()
+
+    return run
+
+
 def _compare(percent: int, least: int):
     """Links between rows of a block pair that lie in different components, checked on the full sets.
     Jaccard distance is a metric: rows whose distances to one pivot differ by more than the threshold
@@ -138,20 +183,13 @@ def _compare(percent: int, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_key(batches):
-            i, label, n, half = (table.column(k).to_numpy() for k in ("rep", "label", "n", "half"))
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(i), -1)
+            i, label, n, sig, same, left, right = _block(table)
             column = table.column("set").combine_chunks()
             sets = [column[k].values.to_numpy() for k in range(len(i))]
-            same = bool(table.column("same")[0].as_py())
-            left = np.arange(len(i)) if same else np.flatnonzero(half == 0)
-            right = np.arange(len(i)) if same else np.flatnonzero(half == 1)
             pivot = None
             out = []
             for p in left:
-                q = right[right > p] if same else right
-                q = q[(label[q] != label[p]) & (100 * np.minimum(n[q], n[p]) >= percent * np.maximum(n[q], n[p]))]
-                if len(q):
-                    q = q[(sig[q] == sig[p]).sum(1) >= least]
+                q = _partners(p, same, right, label, n, sig, percent, least)
                 if len(q) > 8:
                     if pivot is None:
                         pivot = np.array([1 - _similar(sets[0], x) for x in sets])
@@ -207,32 +245,45 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, bands: in
     classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("n", "s0", "s1").agg(F.min("id").alias("rep"))
     classes = stage(classes, "classes")
     reps = signed.join(classes.select(F.col("rep").alias("id"), "n", "s0", "s1"), ["id", "n", "s0", "s1"]).select(F.col("id").alias("rep"), "n", "bands", "sig")
+    reps = stage(reps, "reps")
+    s, k = percent / 100, bands * rows
+    least = int(k * (s + (1 - s) / 256) - 4 * (k * s * (1 - s)) ** 0.5)
 
+    # most buckets hold one representative: only the others' members are shuffled again
     spread = reps.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = spread.groupBy("key").agg(F.min("rep").alias("c"), F.min_by("n", "rep").alias("cn"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("all_n")).where("m > 1")
-    members = stage(spread.join(buckets, "key"), "members")
-    fits = F.lit(100) * F.least("n", "cn") >= F.lit(percent) * F.greatest("n", "cn")
-    pairs = stage(members.where((F.col("rep") != F.col("c")) & fits).select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    sets = stage(slim.join(wanted, "id").mapInArrow(_sets(size), "id bigint, set array<bigint>"), "sets")
+    buckets = stage(spread.groupBy("key").agg(F.min("rep").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
+    members = stage(sieve(spread, buckets.select("key"), "key", 1 << 27).join(buckets, "key"), "members")
+    stars = members.where("rep != c").select(F.col("c").alias("a"), F.col("rep").alias("b"), F.col("n").alias("bn")).distinct()
+    looks = sieve(reps, members.select("rep").distinct(), "rep").select("rep", "n", "sig")
+    met = stars.join(looks.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").join(looks.select(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("sig").alias("sa")), "a")
+    met = met.where(F.lit(100) * F.least("an", "bn") >= F.lit(percent) * F.greatest("an", "bn"))
+    pairs = stage(met.select("a", "b", "sa", "sb").mapInArrow(_likely(least), "a bigint, b bigint"), "pairs")
+
+    def full_sets(wanted: DataFrame, tag: str) -> DataFrame:
+        return stage(sieve(slim, wanted, "id").join(wanted, "id").mapInArrow(_sets(size), "id bigint, set array<bigint>"), tag)
+
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "sets")
     links = stage(verify(pairs, sets, percent), "links")
+    unstage(sets)
     found = connected_components(links)
 
     # buckets with members in different components, beyond the pairs with the centre
     named = members.where("m > 2").join(found.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left")
-    named = stage(named.select("key", "rep", "n", "m", "all_n", "c", F.coalesce("label", "rep").alias("label")), "named")
-    open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    named = stage(named.select("key", "rep", "n", "c", "m", F.coalesce("label", "rep").alias("label")), "named")
+    open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("all_n")).where("lo < hi").select("key", "all_n")
     # the centre has met all others
-    rest = named.join(open_, "key", "left_semi").where("rep != c").withColumn("nb", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("all_n") / BLOCK_SHINGLES)).cast("int"))
+    rest = named.join(open_, "key").where("rep != c").withColumn("nb", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("all_n") / BLOCK_SHINGLES)).cast("int"))
     block = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
     rest = rest.withColumn("bk", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rest = rest.select("key", F.least("bk", "other").alias("i"), F.greatest("bk", "other").alias("j"), "rep", "n", "label", (F.col("bk") > F.col("other")).cast("int").alias("half"), (F.col("bk") == F.col("other")).alias("same"))
-    rest = rest.join(reps.select("rep", "sig"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
-    rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    s, k = percent / 100, bands * rows
-    least = int(k * (s + (1 - s) / 256) - 4 * (k * s * (1 - s)) ** 0.5)
+    rest = rest.join(looks.select("rep", "sig"), "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    kept = "key bigint, i int, j int, rep bigint, n bigint, label bigint, half int, same boolean, sig binary"
+    rest = rest.select(*(c.split()[0] for c in kept.split(", "))).mapInArrow(_open(percent, least), kept)
+    rest = stage(rest, "open")
+    sets = full_sets(rest.select(F.col("rep").alias("id")).distinct(), "sets")
+    rest = rest.join(sets.withColumnRenamed("id", "rep"), "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     links2 = stage(rest.mapInArrow(_compare(percent, least), "a bigint, b bigint").distinct(), "links2")
+    unstage(sets)
     unstage(members)
     found = connected_components(links.unionByName(links2))
     labelled = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s0", "s1", F.coalesce("component", "rep").alias("component"))
