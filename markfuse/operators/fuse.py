@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from markfuse.functions.text import SPACE, strip
 from markfuse.operators.normalize import to_lines
+from markfuse.operators.profile import line_count, table_count
 from markfuse.sources.registry import file_token
 
 _HEADING = rf"(?U)\A#{{1,6}}[{SPACE}]+[^{SPACE}]"
@@ -60,6 +61,14 @@ def run_status(runs: DataFrame, doc: str = "doc") -> DataFrame:
     return runs.groupBy(doc).agg(ok.alias("parsers_ok"), F.count_if(~F.col("ok")).alias("failed")).withColumns({"can_continue": F.col("parsers_ok") > 0, "single": F.col("parsers_ok") == 1})
 
 
+def run_summary(assessed: DataFrame, runs: DataFrame, fused: DataFrame, doc: str = "doc") -> DataFrame:
+    """One row a document: pages, tier, parsers, failed_parsers, contributors, inserted, lines, tables.
+    All three sides meet on the document; one without runs or without a fused text keeps its row."""
+    ran = runs.groupBy(doc).agg(F.sort_array(F.collect_list(F.when(F.col("ok"), F.col("parser")))).alias("parsers"), F.sort_array(F.collect_list(F.when(~F.col("ok"), F.col("parser")))).alias("failed_parsers"))
+    made = fused.select(doc, "contributors", "inserted", line_count("markdown").cast("long").alias("lines"), table_count("markdown").cast("long").alias("tables"))
+    return assessed.select(doc, "pages", "tier").join(ran, doc, "left").join(made, doc, "left")
+
+
 def extra_parser_reasons(docs: DataFrame) -> DataFrame:
     """docs plus reasons for one more parser, from boolean columns unresolved, foreign, critical,
     new_type, source_typo and n_parsers."""

@@ -102,14 +102,65 @@ def heading_runs(lines: DataFrame, least: int = 3, doc: str = "doc") -> DataFram
     return rows.withColumn("listed", F.col("__h") & (size >= least)).drop("__h", "__b", "__run")
 
 
+# Chapter numerals in either spelling.
+NUMERALS = {"Ⅰ": 1, "Ⅱ": 2, "Ⅲ": 3, "Ⅳ": 4, "Ⅴ": 5, "Ⅵ": 6, "Ⅶ": 7, "Ⅷ": 8, "Ⅸ": 9, "Ⅹ": 10, "I": 1, "II": 2, "III": 3, "IV": 4, "V": 5, "VI": 6, "VII": 7, "VIII": 8, "IX": 9, "X": 10}
+
+
+def numeral_value(c: Column) -> Column:
+    """The number that a numeral, or a text of digits, stands for; else null."""
+    known = F.create_map(*(F.lit(x) for kv in NUMERALS.items() for x in kv))
+    return F.coalesce(known[c], c.try_cast("int"))
+
+
+def chapter_check(lines: DataFrame, doc: str = "doc") -> DataFrame:
+    """doc, ord, numeral, part, same: the n-th chapter heading's number against the n-th part label's.
+    A heading that repeats its predecessor's number is the same chapter."""
+    w = Window.partitionBy(doc).orderBy("pos")
+    value = lambda p: numeral_value(F.regexp_extract("line", p, 1))
+    rows = lines.select(doc, "pos", value(r"\A# *([ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]|[IVX]+)(?=[. ]|\z)").alias("numeral"), value(r"\AP·A·R·T \**([ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]|[IVX]+|\d+)").alias("part"))
+
+    def listed(name: str) -> DataFrame:
+        seen = rows.where(F.col(name).isNotNull()).withColumn("__last", F.lag(name).over(w)).where(F.col("__last").isNull() | (F.col("__last") != F.col(name)))
+        return seen.select(doc, F.row_number().over(w).alias("ord"), name)
+
+    met = listed("numeral").join(listed("part"), [doc, "ord"], "full_outer")
+    return met.withColumn("same", F.col("numeral").eqNullSafe(F.col("part")))
+
+
+def broken_titles(lines: DataFrame, doc: str = "doc") -> DataFrame:
+    """Lines with `part_of_title`: two to four plain lines in a row whose texts, joined, are a heading of
+    the document: a cover title broken over lines."""
+    w = Window.partitionBy(doc).orderBy("pos")
+    plain = ~is_blank("line") & ~F.col("line").startswith("#") & ~F.col("line").startswith("|")
+    rows = lines.withColumns({"__t": F.when(plain, strip("line")), "__h": F.when(F.col("line").startswith("#"), strip(F.regexp_replace("line", r"\A#+", "")))})
+    titles = F.collect_set("__h").over(Window.partitionBy(doc))
+    rows = rows.withColumn("__titles", titles)
+    size = F.lit(0)
+    for n in (2, 3, 4):
+        parts = [F.lead("__t", i).over(w) if i else F.col("__t") for i in range(n)]
+        whole = F.concat_ws(" ", *parts)
+        full = parts[0].isNotNull()
+        for part in parts[1:]:
+            full = full & part.isNotNull()
+        size = F.when(full & F.array_contains(F.col("__titles"), whole), n).otherwise(size)
+    rows = rows.withColumn("__size", size)
+    flag = F.lit(False)
+    for i in range(4):
+        flag = flag | ((F.lag("__size", i).over(w) if i else F.col("__size")) > i)
+    return rows.withColumn("part_of_title", F.coalesce(flag, F.lit(False))).drop("__t", "__h", "__titles", "__size")
+
+
 def split_headings(lines: DataFrame, doc: str = "doc", numerals: str = "ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩIVX") -> DataFrame:
-    """Lines with `part_of_heading`: a lone chapter numeral and the one to three lines after it whose
-    texts, joined, are the text of the heading that follows them."""
+    """Lines with `part_of_heading`: a lone chapter numeral and the lines after it, up to three, whose
+    texts, joined, are the text of the heading that follows them. With no line between, the heading
+    must have the same number."""
     w = Window.partitionBy(doc).orderBy("pos")
     rows = lines.where(~is_blank("line")).withColumn("__t", strip(F.regexp_replace("line", r"\A#+", "")))
     rows = rows.withColumn("__lone", F.col("line").rlike(rf"\A# *[{numerals}]+ *\z"))
     head = F.col("line").startswith("# ")
-    size = F.lit(0)
+    number = lambda c: numeral_value(F.regexp_extract(c, rf"\A([{numerals}]+)(?=[. ]|\z)", 1))
+    after = F.lead("__t", 1).over(w)
+    size = F.when(F.lead(head, 1).over(w) & (number(after) == number("__t")) & (F.length(after) > F.length("__t")), 1).otherwise(0)
     for n in (3, 2, 1):
         parts = F.concat_ws(" ", *(F.lead("__t", i).over(w) for i in range(1, n + 1)))
         whole, is_head = F.lead("__t", n + 1).over(w), F.lead(head, n + 1).over(w)

@@ -450,6 +450,11 @@ def test_line_rules(spark):
     p = postprocess
     assert flagged(spark, p.heading_runs, "listed", ["# A", "", "# B", "# C", "x", "# D", "# E"]) == ["# A", "# B", "# C"]
     assert flagged(spark, p.split_headings, "part_of_heading", ["# Ⅲ", "# One two", "# Ⅲ One two", "x"]) == ["# Ⅲ", "# One two"]
+    assert flagged(spark, p.split_headings, "part_of_heading", ["# IV", "one", "two three", "# Ⅳ one two three"]) == ["# IV", "one", "two three"]
+    assert flagged(spark, p.split_headings, "part_of_heading", ["# Ⅱ", "", "# Ⅱ Two", "# Ⅲ", "# Ⅳ Four"]) == ["# Ⅱ"]
+    assert flagged(spark, p.broken_titles, "part_of_title", ["One", "two", "three", "", "# One two three", "One", "else"]) == ["One", "two", "three"]
+    d = spark.createDataFrame([(1, i, x) for i, x in enumerate(["# Ⅰ", "# Ⅰ. A", "P·A·R·T 1", "# Ⅳ B", "P·A·R·T **Ⅴ**", "# x"])], "doc int, pos int, line string")
+    assert [(r.ord, r.numeral, r.part, r.same) for r in p.chapter_check(d).orderBy("ord").collect()] == [(1, 1, 1, True), (2, 4, 5, False)]
     assert flagged(spark, p.headings_in_tables, "in_table", ["# T", "| a |", "", "# T", "", "| b |"]) == ["# T"]
     assert flagged(spark, p.drop_running_lines, "true", ["h", "a", "h", "b", "h"]) == ["h", "a", "b"]
 
@@ -464,6 +469,9 @@ def test_fusion(spark):
     assert (one(spark, m), one(spark, n)) == (3, 4)
     runs = spark.createDataFrame([(1, "a", True), (1, "b", False)], "doc int, parser string, ok boolean")
     assert tuple(fuse.run_status(runs).first()) == (1, 1, 1, True, True)
+    a = spark.createDataFrame([(1, 5, "small"), (2, 7, "small")], "doc int, pages int, tier string")
+    got = {r.doc: (r.parsers, r.failed_parsers, r.lines) for r in fuse.run_summary(a, runs, f).collect()}
+    assert got == {1: (["a"], ["b"], 8), 2: (None, None, None)}
 
 
 # ---------------------------------------------------------------- sources, sinks, streaming
