@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -36,18 +41,30 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 def ship(spark: SparkSession) -> None:
     """Give this package's source to the executors' Python workers, once a session: functions that run
-    there are pickled by reference, and a cluster's nodes need not have the package installed."""
-    import shutil
-    import tempfile
-    from pathlib import Path
-
+    there are pickled by reference, and a cluster's nodes need not have the package installed. The
+    archive lies in spark.checkpoint.dir; only where that is unset, as in tests, in a local folder."""
     sc = spark.sparkContext
     if getattr(sc, "_markfuse_shipped", False):
         return
     package = Path(__file__).resolve().parent
     if not package.is_dir():  # already imported from a shipped archive
         return
-    top = Path(tempfile.mkdtemp(prefix="markfuse-src-"))
-    shutil.copytree(package, top / "src" / package.name, ignore=shutil.ignore_patterns("__pycache__"))
-    sc.addPyFile(shutil.make_archive(str(top / "markfuse_src"), "zip", top / "src"))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, str(p.relative_to(package.parent)))
+    name = f"markfuse_src_{uuid.uuid4().hex}.zip"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        path = f"{shared.rstrip('/')}/{name}"
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(sc._jsc.hadoopConfiguration())
+        out = files.create(target)
+        out.write(packed.getvalue())
+        out.close()
+        files.deleteOnExit(target)
+    else:
+        path = f"{tempfile.mkdtemp(prefix='markfuse-src-')}/{name}"
+        Path(path).write_bytes(packed.getvalue())
+    sc.addPyFile(path)
     sc._markfuse_shipped = True
