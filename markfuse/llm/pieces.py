@@ -9,7 +9,8 @@ each position; the path is then the library's own segmentation. Characters outsi
 become byte pieces, or the unknown piece where the model has none.
 
 No piece has a word character before a space mark, so texts are encoded word by word, and workers
-remember short words in a bounded table that is emptied when full; it changes no result. (Models that
+remember short words in two bounded tables, of which the older is dropped when the newer is full; that
+changes no result. (Models that
 do have such pieces are encoded text by text.)
 
 Decoding joins the pieces, gives bytes back their characters, turns marks into spaces and takes away
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from markfuse.session import ship
 
 MARK = "▁"
-REMEMBER, SHORT, PAIRS = 1 << 19, 48, 1 << 21
+REMEMBER, SHORT, PAIRS, STEPS = 3 << 17, 48, 1 << 21, 1 << 22
 NORMAL, UNKNOWN, CONTROL, BYTE, USER = 1, 2, 3, 6, 4
 
 
@@ -71,11 +72,24 @@ class Automaton:
                 queue.append(child)
             back = self.fail[at]
             self.link[at] = back if self.out[back] >= 0 else self.link[back]
+        # what ends at each state, longest first: (length, number), along the output links
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.next)
+        for at in sorted(range(1, len(self.next)), key=self.depth.__getitem__):
+            own = ((self.depth[at], self.out[at]),) if self.out[at] >= 0 else ()
+            self.ends[at] = own + self.ends[self.link[at]]
+        self.spare = STEPS
 
     def step(self, at: int, c: str) -> int:
-        while at and c not in self.next[at]:
-            at = self.fail[at]
-        return self.next[at].get(c, 0)
+        """The next state where the trie has none: along the failure links, then remembered (up to STEPS
+        times, after which it is merely looked up each time)."""
+        back = self.fail[at]
+        while back and c not in self.next[back]:
+            back = self.fail[back]
+        after = self.next[back].get(c, 0)
+        if self.spare:
+            self.spare -= 1
+            self.next[at][c] = after
+        return after
 
 
 class Pieces(dict):
@@ -92,16 +106,22 @@ class Pieces(dict):
         self.prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
         self.text = [p.piece for p in model.pieces]
         self.kind = [p.type for p in model.pieces]
+        self.length = [len(t) for t in self.text]
         self.score = [p.score for p in model.pieces]
         self.unigram = model.trainer_spec.model_type == 1
         self.unknown = self.kind.index(UNKNOWN)
         self.bytes = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.text, self.kind, strict=True)) if k == BYTE}
+        mark = MARK.encode()
+        self.raw = [bytes([int(t[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" if k == CONTROL else t.encode().replace(mark, b" ") for t, k in zip(self.text, self.kind, strict=True)]
+        self.older: dict[str, bytes] = {}
         self.plain = [(t, i) for i, (t, k) in enumerate(zip(self.text, self.kind, strict=True)) if k in (NORMAL, USER)]
         self.auto = Automaton(self.plain)
         crossing = any(MARK in t.lstrip(MARK) for t, _ in self.plain)
         chars = {c for t, _ in self.plain for c in t}
         stop = "".join(c for c in "\n\r\t" if c not in chars)
-        self.split = re.compile("(?s).+" if crossing else f"[{stop}]|{MARK}*[^{MARK}{stop}]+|{MARK}+" if stop else f"{MARK}*[^{MARK}]+|{MARK}+")
+        # spaces become marks word by word: words of plain letters take less room with spaces
+        gap = f"[ {MARK}]"
+        self.split = re.compile("(?s).+" if crossing else (f"[{stop}]|" if stop else "") + f"{gap}*[^ {MARK}{stop}]+|{gap}+")
         self.pairs: dict[int, bool] = {}
         if not self.unigram:
             self._ranks()
@@ -149,68 +169,82 @@ class Pieces(dict):
                         return True
 
     def __missing__(self, word: str) -> bytes:
-        out = np.array(self.path(word), np.int32).tobytes()
+        out = self.older.get(word)
+        if out is None:
+            out = array("i", self.path(word.replace(" ", MARK))).tobytes()
         if len(word) <= SHORT:
-            if len(self) >= REMEMBER:
+            if len(self) >= REMEMBER:  # what was not met since the last time is forgotten
+                self.older = dict(self)
                 self.clear()
             self[word] = out
         return out
 
     def path(self, word: str) -> list[int]:
         """Piece numbers of a word in one pass."""
-        auto, n = self.auto, len(word)
-        nexts, fail, link, output, depth = auto.next, auto.fail, auto.link, auto.out, auto.depth
-        last, size = [-1] * (n + 1), [0] * (n + 1)  # the piece that ends the best path to i, its length
-        best = [0.0] * (n + 1)
-        pairs, rank, unigram = self.pairs, None if self.unigram else self.rank, self.unigram
-        state = 0
-        for i in range(1, n + 1):
-            c = word[i - 1]
-            while state and c not in nexts[state]:
-                state = fail[state]
-            state = nexts[state].get(c, 0)
-            at = state if output[state] >= 0 else link[state]
+        return self._unigram(word) if self.unigram else self._merged(word)
+
+    def _merged(self, word: str) -> list[int]:
+        auto, pairs, rank = self.auto, self.pairs, self.rank
+        nexts, ends = auto.next, auto.ends
+        last = [-1]  # the piece that ends the best path to each position
+        add = last.append
+        state = i = 0
+        for c in word:
+            i += 1
+            after = nexts[state].get(c)
+            state = auto.step(state, c) if after is None and state else after or 0
             found = -1
-            top = -1e300
-            while at:
-                d, p = depth[at], output[at]
-                j = i - d
-                if unigram:
-                    if best[j] + self.score[p] > top:
-                        top, found, size[i] = best[j] + self.score[p], p, d
-                elif j == 0 or last[j] < 0:
-                    found, size[i] = p, d
+            for d, p in ends[state]:
+                before = last[i - d]
+                if before < 0:  # the start, or an unknown character: nothing merges across
+                    found = p
                     break
-                else:
-                    key = last[j] << 32 | p
-                    ok = pairs.get(key)
-                    if ok is None:
-                        if len(pairs) >= PAIRS:
-                            pairs.clear()
-                        ok = pairs[key] = self._apart(rank[last[j]], rank[p])
-                    if ok:
-                        found, size[i] = p, d
-                        break
-                at = link[at]
-            single = found >= 0 and size[i] == 1
-            if unigram and not single and best[i - 1] + self.unknown_score > top:
-                one = nexts[0].get(c)
-                if one is None or output[one] < 0:
-                    found, size[i], top = -1, 1, best[i - 1] + self.unknown_score
-            if found < 0:
-                size[i] = 1
+                key = before << 20 | p
+                ok = pairs.get(key)
+                if ok is None:
+                    if len(pairs) >= PAIRS:
+                        pairs.clear()
+                    ok = pairs[key] = self._apart(rank[before], rank[p])
+                if ok:
+                    found = p
+                    break
+            add(found)
+        return self._back(word, last)
+
+    def _unigram(self, word: str) -> list[int]:
+        auto, score, n = self.auto, self.score, len(word)
+        last, best = [-1] * (n + 1), [0.0] * (n + 1)
+        state = 0
+        for i in range(1, n + 1):
+            after = auto.next[state].get(word[i - 1])
+            state = auto.step(state, word[i - 1]) if after is None and state else after or 0
+            top, found = -1e300, -1
+            for d, p in auto.ends[state]:
+                total = best[i - d] + score[p]
+                if total > top:
+                    top, found = total, p
+            if not auto.ends[state] or auto.ends[state][-1][0] > 1:  # no piece of this character alone
+                total = best[i - 1] + self.unknown_score
+                if total > top:
+                    top, found = total, -1
             last[i], best[i] = found, top
+        return self._back(word, last)
+
+    def _back(self, word: str, last: list[int]) -> list[int]:
         ids: list[int] = []
-        i = n
+        length = self.length
+        i = len(word)
         while i:
             p = last[i]
             if p >= 0:
                 ids.append(p)
-            elif self.bytes:
-                ids.extend(self.bytes[b] for b in reversed(word[i - 1].encode("utf-8", "surrogatepass")))
+                i -= length[p]
+                continue
+            i -= 1
+            if self.bytes:
+                ids.extend(self.bytes[b] for b in reversed(word[i].encode("utf-8", "surrogatepass")))
             elif not (ids and ids[-1] == self.unknown):
                 ids.append(self.unknown)
-            i -= size[i]
         ids.reverse()
         return ids
 
@@ -222,23 +256,12 @@ class Pieces(dict):
             text = re.sub(" +", " ", text).strip(" ")
             if not text:
                 return b""
-        text = text.replace(" ", MARK)
         if self.prefix:
-            text = MARK + text
+            text = " " + text
         return b"".join(map(self.__getitem__, self.split.findall(text)))
 
     def decode(self, ids: list[int]) -> str:
-        kind, text = self.kind, self.text
-        out: list[bytes] = []
-        for i in ids:
-            k = kind[i]
-            if k == BYTE:
-                out.append(bytes([int(text[i][3:5], 16)]))
-            elif k == UNKNOWN:
-                out.append(" ⁇ ".encode())
-            elif k != CONTROL:
-                out.append(text[i].encode())
-        whole = b"".join(out).decode("utf-8", "replace").replace(MARK, " ")
+        whole = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return whole[1:] if self.prefix and whole.startswith(" ") else whole
 
 
