@@ -12,18 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markfuse.llm import exact, langid, minhash, mixing, pieces
-from markfuse.llm.common import read, stage
+from markfuse.llm.common import read, stage, without
 from markfuse.llm.queries import vocabulary
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go; the predicted language fills a missing `lang`."""
+    """Documents without a letter go, and those whose two nearest codewords are as good as tied (texts in
+    two languages by halves); the predicted language fills a missing `lang`."""
     model = langid.learn(docs)
     if not model.langs:  # no labels to learn from: only documents without a letter are rejected
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    own = {f"c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}
-    found = langid.predict(docs, model, extra=own).where(F.col("lang_pred") != langid.NOTHING)
-    back = {c: F.col(k) for k, c in zip(own, docs.columns, strict=True)} | {"lang": F.coalesce(F.col(f"c{docs.columns.index('lang')}"), F.col("lang_pred"))}
+    # the text goes through the workers once; a text that is kept has letters, so it was not null
+    own = {f"c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns) if c != "text"}
+    found = langid.predict(docs, model, extra=own, with_text=True).where((F.col("lang_pred") != langid.NOTHING) & ~F.col("ambiguous"))
+    back = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)} | {"text": F.col("judged_text")}
+    back["lang"] = F.coalesce(back["lang"], F.col("lang_pred"))
     return found.select(*(v.alias(c) for c, v in back.items()))
 
 
@@ -34,8 +37,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five words, similarity 0.8 or more."""
     found = minhash.near_duplicates(docs, percent=80)
-    gone = found.where(~F.col("kept")).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return without(docs, stage(found.where(~F.col("kept")).select("id").distinct(), "gone"), "doc_id")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,12 +102,14 @@ def sieve(rows: DataFrame, keys: DataFrame, column: str, bits: int = 1 << 26) ->
 
 
 def without(rows: DataFrame, keys: DataFrame, column: str, bits: int = 1 << 26) -> DataFrame:
-    """Rows whose `column` is not among keys' single column. Rows that the filter of sieve() clears pass
-    where they lie; only the rest are shuffled to meet the keys."""
+    """Rows whose `column` is not among keys' single column, which holds distinct values. Rows that the
+    filter of sieve() clears pass where they lie; only the rest are shuffled to meet the keys. (An outer
+    join, because the optimiser would push an anti join below the filter and shuffle all rows.)"""
     marked = _marked(rows, keys, column, bits, "left")
     rest = marked.where("__maybe").drop("__maybe")
-    gone = keys.select(F.col(keys.columns[0]).alias("__gone"))
-    return marked.where("NOT __maybe").drop("__maybe").unionByName(rest.join(gone, rest[f"`{column}`"].eqNullSafe(F.col("__gone")), "left_anti"))
+    gone = keys.select(F.col(keys.columns[0]).alias("__gone"), F.lit(True).alias("__is_gone"))
+    met = rest.join(gone, F.col(f"`{column}`").eqNullSafe(F.col("__gone")), "left").where("__is_gone IS NULL").drop("__gone", "__is_gone")
+    return marked.where("NOT __maybe").drop("__maybe").unionByName(met)
 
 
 # ---------------------------------------------------------------- word hashing, vectorised

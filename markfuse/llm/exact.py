@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import sieve, stage, without
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -84,9 +84,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.bool_or("kept").alias("__kept"), F.count(F.lit(1)).alias("__times")
     )
     marks = stage(marks.where(~F.col("__kept") | (F.col("__times") > 1)), "marks")
+    # the mark of a row is a hash of id and digest; the pair itself decides among rows whose hash is marked
     own = F.unhex(F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), BLANK, ""), 256))
     keyed = docs.withColumn("__own", own)
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
-    single = keyed.join(marks, same, "left_anti")
-    repeated = keyed.join(marks.where("__kept"), same, "left_semi").dropDuplicates([id_col, "__own"])
-    return single.unionByName(repeated).drop("__own")
+    keyed = keyed.withColumn("__row", F.struct(F.col(id_col).alias("id"), F.col("__own").alias("digest")))
+    pair = F.struct(F.col("__id").alias("id"), F.col("__digest").alias("digest")).alias("pair")
+    single = without(keyed, marks.select(pair), "__row")
+    again = marks.where("__kept").select(pair)
+    repeated = sieve(keyed, again, "__row").join(again, F.col("__row") == F.col("pair")).drop("pair").dropDuplicates(["__row"])
+    return single.unionByName(repeated).select(*(F.col(f"`{c}`") for c in docs.columns))

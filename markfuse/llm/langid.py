@@ -117,20 +117,22 @@ def learn(docs: DataFrame, learn_if: Column | None = None, id_col: str = "doc_id
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
-    got = chosen.select("lang", "text").mapInArrow(_counts("string"), "lang string, at array<int>, n array<bigint>").toArrow().to_pydict()
-    x = np.zeros((len(got["lang"]), DIM), np.float32)
-    for i, (at, n) in enumerate(zip(got["at"], got["n"], strict=True)):
-        x[i, at] = n
-    total = x.sum(1)
-    keep = total > 0
-    x, y = x[keep] / total[keep, None], np.array(got["lang"], object)[keep]
+    got = chosen.select("lang", "text").mapInArrow(_counts("string"), "lang string, at array<int>, n array<bigint>").toArrow()
+    at, n = (got.column(c).combine_chunks() for c in ("at", "n"))
+    size = np.diff(at.offsets.to_numpy())
+    keep = np.flatnonzero(size > 0)
+    used, place = np.unique(at.flatten().to_numpy(), return_inverse=True)
+    row = np.repeat(np.cumsum(size > 0) - 1, size)
+    x = np.zeros((len(keep), len(used)), np.float32)
+    x[row, place] = n.flatten().to_numpy()
+    x /= np.maximum(x.sum(1, keepdims=True), 1)
+    y = np.array(got.column("lang").to_pylist(), object)[keep]
     codes = codebook(len(langs))
-    used = np.flatnonzero(x.any(0)) if len(x) else np.zeros(0, int)
     target = codes[[langs.index(v) for v in y]].astype(np.float32) if len(x) else np.zeros((0, codes.shape[1]), np.float32)
-    w, b = _logistic(x[:, used], target)
+    w, b = _logistic(x, target)
     weights = np.zeros((DIM + 1, codes.shape[1]), np.float32)
     weights[used], weights[DIM] = w, b
-    right = ((x[:, used] @ w + b) * target > 0).mean(0) if len(x) else np.ones(codes.shape[1])
+    right = ((x @ w + b) * target > 0).mean(0) if len(x) else np.ones(codes.shape[1])
     return Model(langs, codes, weights, np.clip(right, 0.05, 1.0))
 
 
@@ -164,8 +166,9 @@ def decode(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, n
     return best, two[:, 1], two[:, 1] - two[:, 0]
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", unsure: float = 0.05, extra: dict[str, Column] | None = None) -> DataFrame:
-    """id, the extra columns, lang_pred, score, ambiguous (margin below `unsure`) for every row."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", unsure: float = 0.05, extra: dict[str, Column] | None = None, with_text: bool = False) -> DataFrame:
+    """id, the extra columns, lang_pred, score, ambiguous (margin below `unsure`) for every row and, if
+    asked for, judged_text: the text, null as empty."""
     ship(docs.sparkSession)
     extra = extra or {}
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -197,7 +200,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 at[a:b], score[a:b], margin[a:b] = decode(margins, m)
             sure = letter & bool(m.langs)
             out = [pa.array(names[np.where(sure, at, len(m.langs))], pa.string()), pa.array(np.where(sure, score, 0.0)), pa.array(sure & (margin < unsure))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *out], [*keys, "lang_pred", "score", "ambiguous"])
+            if with_text:
+                out.append(batch.column(len(keys) + 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *out], [*keys, "lang_pred", "score", "ambiguous", *["judged_text"] * with_text])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*keys).schema)
-    return slim.mapInArrow(run, f"{kinds}, lang_pred string, score double, ambiguous boolean")
+    return slim.mapInArrow(run, f"{kinds}, lang_pred string, score double, ambiguous boolean" + ", judged_text string" * with_text)

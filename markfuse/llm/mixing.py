@@ -170,20 +170,39 @@ def judge(
     """One row per input row: id, source, tokens, weight and goal (token budget) of its source, repeats
     (how often the mixture holds the row), place. tokens: a column that counts a row's tokens; words by default."""
     rows = stage(counted(docs, id_col, text_col, source_col, tokens, seed), "counted")
-    p = plan(rows, evenness, max_repeats, budget)
-    met = rows.join(p.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    mine = [place_in_pass(F.col("passes"), k) for k in (F.substring("place", 1, 2), F.substring("place", 1, 4), F.col("place"))]
-    c = [F.col("c1"), F.col("c2"), F.col("c3")]
+    out = repeated(rows, plan(rows, evenness, max_repeats, budget))
+    return out.select("id", "source", "tokens", F.col("__weight").alias("weight"), F.col("__goal").alias("goal"), F.col("__repeats").alias("repeats"), "place")
+
+
+def repeated(rows: DataFrame, p: DataFrame, source: str = "source", place_col: str = "place") -> DataFrame:
+    """rows plus __weight, __goal and __repeats by the plan p. The plan has one row a source; Spark
+    broadcasts it if its size allows, else the join on the source is split where it is skewed."""
+    p = p.select(*(F.col(c).alias(f"__{c}") for c in p.columns))
+    met = rows.join(p, F.col(f"`{source}`").eqNullSafe(F.col("__source")))
+    at = F.col(place_col)
+    mine = [place_in_pass(F.col("__passes"), k) for k in (F.substring(at, 1, 2), F.substring(at, 1, 4), at)]
+    c = [F.col("__c1"), F.col("__c2"), F.col("__c3")]
     before = (mine[0] < c[0]) | ((mine[0] == c[0]) & ((mine[1] < c[1]) | ((mine[1] == c[1]) & (mine[2] < c[2]))))
-    taken = (F.col("left") >= 0) & (c[0].isNull() | before)
-    return met.select("id", "source", "tokens", "weight", "goal", (F.col("passes") + F.coalesce(taken, F.lit(False)).cast("long")).alias("repeats"), "place")
+    taken = (F.col("__left") >= 0) & (c[0].isNull() | before)
+    times = (F.col("__passes") + F.coalesce(taken, F.lit(False)).cast("long")).alias("__repeats")
+    return met.select(*(F.col(f"`{x}`") for x in rows.columns), "__weight", "__goal", times)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **how) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    evenness: float = 0.5,
+    max_repeats: float | None = 4.0,
+    budget: int | None = None,
+    tokens: Column | None = None,
+    seed: str = "mix",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
     """The mixture: each row of docs as often as its source's budget says, with the columns of docs.
-    Rows that share id, source and text are one to the mixture; each of them is repeated alike."""
-    verdict = judge(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **how)
-    wanted = verdict.where("repeats > 0").select(F.col("place").alias("__place"), F.col("repeats").alias("__repeats")).distinct()
-    met = docs.withColumn("__key", place(id_col, text_col, source_col, seed)).join(wanted, F.col("__key") == F.col("__place"))
+    A row's place is a function of the row, so texts stay where they lie and only the plan moves."""
+    rows = stage(counted(docs, id_col, text_col, source_col, tokens, seed), "counted")
+    placed = docs.withColumn("__place", place(id_col, text_col, source_col, seed))
+    met = repeated(placed, plan(rows, evenness, max_repeats, budget), source_col, "__place").where("__repeats > 0")
     copies = met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__repeats").cast("int"))))
     return copies.select(*(F.col(f"`{c}`") for c in docs.columns))

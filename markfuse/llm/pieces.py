@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from markfuse.session import ship
 
 MARK = "▁"
-REMEMBER, SHORT, PAIRS, STEPS = 3 << 17, 48, 1 << 21, 1 << 22
+REMEMBER, SHORT, PAIRS, STEPS = 1 << 18, 48, 1 << 19, 1 << 20
 NORMAL, UNKNOWN, CONTROL, BYTE, USER = 1, 2, 3, 6, 4
 
 
