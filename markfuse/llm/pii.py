@@ -257,8 +257,15 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 _SCAN = "n array<bigint>, base string, starts array<bigint>, ends array<bigint>, kinds array<int>, keys array<string>, feats array<array<int>>"
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: what a row's mentions take as Python objects lives no longer than these."""
     for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         out: dict[str, list] = {c: [] for c in ("n", "base", "starts", "ends", "kinds", "keys", "feats")}
         for value in batch.column(1):
             text = value.as_py()
@@ -285,7 +292,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     model = spark.sparkContext.broadcast(train([(r["kinds"], r["keys"], r["feats"]) for r in got]))
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             spans, added = [], []
             for r in batch.select(["base", "starts", "ends", "kinds", "keys", "feats"]).to_pylist():
                 if OTHER not in r["kinds"]:
