@@ -3,15 +3,18 @@
 Base spans come from four linear-time scanners (email, ip, card, phone). The field's nodes are the
 mentions of a text, in order: every base span, every other numeric run of seven digits or more, and
 every other token around an at sign. Node potentials weigh the mention's shape and the word before it,
-chain potentials tie neighbours, and skip potentials tie each mention to the last one with the same or
-a similar key (the same last seven digits; the same letters and digits of an address), however far
-away. Keys are linked occurrence to occurrence, so a key met n times costs n - 1 links, not n**2 / 2.
-Base spans are observed; loopy sum-product passing over all links settles the other mentions, and those
-that reach a kind with probability `sure` become added spans. Words that are no mention have no label
-but "other" by definition of the field, so they need no node.
+chain potentials tie neighbours, and skip potentials tie each mention to the hub of its key (the same
+last seven digits; the same letters and digits of an address), however far away. A key met n times costs
+n links at most, not n**2 / 2. Base spans are observed, and so is the hub of a key that has any: it takes
+their kinds (by share, should they differ), so each bare repeat meets that evidence at first hand, however
+many repeats there are. The hub of a key without base spans is hidden. Loopy sum-product passing over all
+links settles the other mentions, and those that reach a kind with probability `sure` become added spans.
+Words that are no mention have no label but "other" by definition of the field, so they need
+no node.
 
 Training maximises the pseudo-likelihood on at most `sample` texts that have mentions (those of lowest
-hash of id), labelled by the base patterns; mentions that share a key with a base span carry no label.
+hash of id), labelled by the base patterns; mentions that share a key with a base span carry no label,
+neither as examples nor as the other end of a link.
 
 Defined cases: null counts as empty; whole texts are scanned whatever their length; repeated rows and
 null ids are judged alike; without any mention in the table the field stays untrained and adds nothing;
@@ -146,15 +149,13 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
     return [(a, b, k, _key(text[a:b]), _shape(text[a:b], text[max(0, a - 40) : a])) for (a, b), k in sorted(found.items())]
 
 
-def links(keys: list[str]) -> list[tuple[int, int]]:
-    """Skip links: each mention to the last one before it with the same key."""
-    last: dict[str, int] = {}
-    out = []
+def hubs(kinds: list[int], keys: list[str]) -> list[tuple[list[int], np.ndarray]]:
+    """(mentions, base spans by kind) of each key that two mentions or more share."""
+    met: dict[str, list[int]] = {}
     for i, k in enumerate(keys):
-        if k in last and k:
-            out.append((last[k], i))
-        last[k] = i
-    return out
+        if k:
+            met.setdefault(k, []).append(i)
+    return [(at, np.bincount([kinds[i] for i in at], minlength=LABELS)[:OTHER]) for at in met.values() if len(at) > 1]
 
 
 def unary(theta: np.ndarray, feats: list[list[int]]) -> np.ndarray:
@@ -166,18 +167,25 @@ def train(texts: list[tuple[list[int], list[str], list[list[int]]]], rounds: int
     potentials have a prior centred on agreement (`agree` for equal kinds), the others on zero."""
     theta, chain, prior = np.zeros((LABELS, FEATURES)), np.zeros((LABELS, LABELS)), agree * np.eye(LABELS)
     skip = prior.copy()
-    rows, labels, side = [], [], []  # features; label; (which table, label of the other end) pairs
+    rows, labels, side = [], [], []  # features; label; (which table, label of the other end, share) of each tie
     for kinds, keys, feats in texts:
         known = {k for k, kind in zip(keys, kinds, strict=True) if kind != OTHER}
-        ties: list[list[tuple[int, int]]] = [[] for _ in kinds]
+        bare = [kind == OTHER and k in known for k, kind in zip(keys, kinds, strict=True)]
+        ties: list[list[tuple[int, int, float]]] = [[] for _ in kinds]
         for i, j in zip(range(len(kinds) - 1), range(1, len(kinds)), strict=True):
-            ties[i].append((0, kinds[j]))
-            ties[j].append((0, kinds[i]))
-        for i, j in links(keys):
-            ties[i].append((1, kinds[j]))
-            ties[j].append((1, kinds[i]))
+            if not bare[j]:
+                ties[i].append((0, kinds[j], 1.0))
+            if not bare[i]:
+                ties[j].append((0, kinds[i], 1.0))
+        for at, base in hubs(kinds, keys):
+            for i in at:
+                if not base.any():
+                    ties[i].append((1, OTHER, 1.0))
+                elif kinds[i] != OTHER and base.sum() > 1:  # the hub as the key's other base spans make it
+                    rest = base - (np.arange(OTHER) == kinds[i])
+                    ties[i] += [(1, int(k), rest[k] / rest.sum()) for k in rest.nonzero()[0]]
         for i, kind in enumerate(kinds):
-            if kind == OTHER and keys[i] in known:
+            if bare[i]:
                 continue
             rows.append(feats[i])
             labels.append(kind)
@@ -189,8 +197,8 @@ def train(texts: list[tuple[list[int], list[str], list[list[int]]]], rounds: int
     near = np.zeros((2, n, LABELS))
     for i, f in enumerate(rows):
         x[i, f] = 1
-        for table, other in side[i]:
-            near[table, i, other] += 1
+        for table, other, share in side[i]:
+            near[table, i, other] += share
     y = np.eye(LABELS)[labels]
     for _ in range(rounds):
         z = x @ theta.T + near[0] @ chain + near[1] @ skip
@@ -207,10 +215,11 @@ def sym(a: np.ndarray) -> np.ndarray:
     return (a + a.T) / 2
 
 
-def marginals(node: np.ndarray, chain: np.ndarray, skip: np.ndarray, skips: list[tuple[int, int]], rounds: int = 30) -> np.ndarray:
-    """Loopy sum-product over chain and skip links: label probabilities of each mention."""
+def marginals(node: np.ndarray, chain: np.ndarray, skip: np.ndarray, skips: list[tuple[int, int]], rounds: int = 30, chained: int | None = None) -> np.ndarray:
+    """Loopy sum-product over chain and skip links: label probabilities of each node. The first `chained`
+    nodes (default: all) form the chain; the others are hubs."""
     n = len(node)
-    ends = [(i, i + 1, chain) for i in range(n - 1)] + [(i, j, skip) for i, j in skips]
+    ends = [(i, i + 1, chain) for i in range((n if chained is None else chained) - 1)] + [(i, j, skip) for i, j in skips]
     phi = np.exp(node - node.max(1, keepdims=True))
     if not ends:
         return phi / phi.sum(1, keepdims=True)
@@ -245,7 +254,16 @@ def settle(kinds: list[int], keys: list[str], feats: list[list[int]], model, sur
         if k != OTHER:
             node[i] = -60.0
             node[i, k] = 0.0
-    p = marginals(node, chain, skip, links(keys))
+    skips, hidden = [], 0
+    for at, base in hubs(kinds, keys):
+        if base.any():  # an observed hub sends the same whatever the repeats send to it
+            bare = [i for i in at if kinds[i] == OTHER]
+            node[bare] += base / base.sum() @ skip[:OTHER]
+        else:
+            skips += [(i, len(kinds) + hidden) for i in at]
+            hidden += 1
+    node = np.concatenate([node, np.zeros((hidden, LABELS))])
+    p = marginals(node, chain, skip, skips, chained=len(kinds))[: len(kinds)]
     best = p[:, :OTHER].argmax(1)
     return [k if k != OTHER else int(b) if p[i, b] >= sure else OTHER for i, (k, b) in enumerate(zip(kinds, best, strict=True))]
 

@@ -196,6 +196,30 @@ def test_repeated_mentions_take_the_same_label(spark):
             assert kind == "phone" and "order" not in text[max(0, int(a) - 8) : int(a)]
 
 
+@pytest.mark.parametrize("bias", [0.0, 2.0, 4.0])
+@pytest.mark.parametrize("n", [5, 20, 100])
+def test_many_bare_repeats_take_the_kind_of_one_base_span(n, bias):
+    theta = np.zeros((pii.LABELS, pii.FEATURES))
+    theta[pii.OTHER, 0] = bias
+    model = theta, np.zeros((pii.LABELS, pii.LABELS)), 8.0 * np.eye(pii.LABELS)
+    for base_at in (0, n // 2, n):
+        kinds = [pii.OTHER] * (n + 1)
+        kinds[base_at] = 3
+        assert pii.settle(kinds, ["1234567"] * (n + 1), [[0]] * (n + 1), model, 0.9) == [3] * (n + 1)
+
+
+def test_many_bare_repeats_are_found(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        n = "".join(rng.choice("0123456789") for _ in range(9))
+        bare = (5, 20, 100)[i % 3]
+        rows.append((i, f"call +49 {n} now. " + "".join(f"again {n[:3]}-{n[3:]} there. order {rng.randrange(10**7, 10**8)} " for _ in range(bare))))
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.n_added == (5, 20, 100)[r.id % 3] for r in got)
+    assert all(rows[r.id][1][:int(a)].endswith(("again ", "call ")) for r in got for _, a, _ in spans_of(r.spans))
+
+
 def test_marginals_match_enumeration_on_a_tree():
     from itertools import product
 
