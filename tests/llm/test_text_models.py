@@ -234,6 +234,21 @@ def test_marginals_match_enumeration_on_a_tree():
     assert np.allclose(pii.marginals(node, chain, chain, [], 60), p, atol=1e-3)
 
 
+def test_evidence_passes_along_the_whole_chain():
+    n, chain = 500, 8.0 * np.eye(pii.LABELS)
+    node = np.zeros((n, pii.LABELS))
+    node[0] = [-60, -60, -60, 0, -60]
+    ahead, behind = np.zeros((n, pii.LABELS)), np.zeros((n, pii.LABELS))  # exact: forward and backward sums
+    for i in range(1, n):
+        ahead[i] = np.log(np.exp(ahead[i - 1] + node[i - 1]) @ np.exp(chain))
+        ahead[i] -= ahead[i].max()
+        behind[n - 1 - i] = np.log(np.exp(behind[n - i] + node[n - i]) @ np.exp(chain))
+        behind[n - 1 - i] -= behind[n - 1 - i].max()
+    p = np.exp(node + ahead + behind)
+    p /= p.sum(1, keepdims=True)
+    assert np.allclose(pii.marginals(node, chain, chain, []), p, atol=1e-3) and p[40, 3] > 0.9
+
+
 # ---------------------------------------------------------------- fingerprints
 
 
