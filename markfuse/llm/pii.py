@@ -12,8 +12,8 @@ links settles the other mentions, and those that reach a kind with probability `
 Words that are no mention have no label but "other" by definition of the field, so they need
 no node.
 
-Training maximises the pseudo-likelihood on at most `sample` texts that have mentions (those of lowest
-hash of id), labelled by the base patterns; mentions that share a key with a base span carry no label,
+Training maximises the pseudo-likelihood on at most `sample` texts that have mentions, `longest` mentions
+at most (those of lowest hash of id); inference covers all texts. The sample is labelled by the base patterns; mentions that share a key with a base span carry no label,
 neither as examples nor as the other end of a link.
 
 Defined cases: null counts as empty; whole texts are scanned whatever their length; repeated rows and
@@ -308,15 +308,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[c], t) for c, t in kinds.items())], ["id", *kinds])
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000, sure: float = 0.9) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000, sure: float = 0.9, longest: int = 1000) -> DataFrame:
     """Per row: id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all spans, as
-    kind:start:end, code points), n_added."""
+    kind:start:end, code points), n_added. Training takes `sample` texts of at most `longest` mentions, so
+    that it fits the driver; longer texts are judged by what the others teach."""
     spark = docs.sparkSession
     ship(spark)
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
     scanned = stage(slim.mapInArrow(_scan, f"id {kind}, {_SCAN}"), "mentions")
-    rows = scanned.where(F.size("kinds").between(1, 1000)).select("kinds", "keys", "feats", F.xxhash64(F.col("id").cast("string")).alias("h"), "base")
+    rows = scanned.where(F.size("kinds").between(1, longest)).select("kinds", "keys", "feats", F.xxhash64(F.col("id").cast("string")).alias("h"), "base")
     got = rows.orderBy("h", "base").limit(sample).select("kinds", "keys", "feats").toArrow().to_pylist()
     model = spark.sparkContext.broadcast(train([(r["kinds"], r["keys"], r["feats"]) for r in got]))
 

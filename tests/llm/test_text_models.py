@@ -234,6 +234,14 @@ def test_marginals_match_enumeration_on_a_tree():
     assert np.allclose(pii.marginals(node, chain, chain, [], 60), p, atol=1e-3)
 
 
+def test_training_leaves_out_texts_beyond_longest(spark, monkeypatch):
+    seen = []
+    learn = pii.train
+    monkeypatch.setattr(pii, "train", lambda texts: seen.append(sorted(len(k) for k, _, _ in texts)) or learn(texts))
+    docs = spark.createDataFrame([(i, "call +49 30 123 456 78 now. " * n) for i, n in enumerate((1, 3, 4))], "doc_id long, text string")
+    assert [pii.find(docs, longest=m).count() for m in (3, 4)] == [3, 3] and seen == [[1, 3], [1, 3, 4]]
+
+
 def test_evidence_passes_along_the_whole_chain():
     n, chain = 500, 8.0 * np.eye(pii.LABELS)
     node = np.zeros((n, pii.LABELS))
