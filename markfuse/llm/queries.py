@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact, langid, minhash, mixing, pieces, pii, simhash, substring, tokens, urls
-from .common import read
+from .common import read, stage
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.edits(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    out = stage(simhash.edits(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id"), "fingerprints")
+    return simhash.with_hits(out, F.col("doc_id") % 20 == 0)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ terms lie in one task, so nothing but the grouped rows would ever be shuffled.
 Search: permuted block tables. 128 bits fall into `blocks` blocks; fingerprints at most `radius` apart
 agree on at least blocks - radius of them, so one table for each choice of that many blocks, keyed by
 the permuted leading bits, holds every such pair in one bucket. Pairs are found between distinct
-fingerprints and then checked by the exact distance.
+fingerprints and then checked by the exact distance, in the join itself: candidates are never rows.
 
 Defined cases: null counts as empty; a text without words has the fingerprint 0; equal texts have
 equal fingerprints; repeated rows, null ids, empty tables and other columns are harmless.
@@ -23,6 +23,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 LANES = 0x0001000100010001
 BLOCK = 13  # 2**13 terms of weight 3 stay below 2**15 in each lane
 BITS = 128
@@ -104,9 +106,9 @@ def hamming_search(queries: DataFrame, index: DataFrame, radius: int = 3, blocks
         raise ValueError("radius must be below the number of blocks")
     keys = _block_keys(blocks, blocks - radius)
     side = lambda df: df.select("f0", "f1").where(F.col("f0").isNotNull() & F.col("f1").isNotNull()).distinct().select("f0", "f1", F.explode(keys).alias("k"))
-    q = side(queries).select(F.col("f0").alias("q0"), F.col("f1").alias("q1"), "k")
+    q = side(queries).select(F.col("f0").alias("q0"), F.col("f1").alias("q1"), F.col("k").alias("qk"))
     d = distance(F.col("q0"), F.col("q1"), F.col("f0"), F.col("f1"))
-    met = q.join(side(index), "k").where((d > 0) & (d <= radius))
+    met = q.join(side(index), (F.col("qk") == F.col("k")) & (d > 0) & (d <= radius))
     return met.select("q0", "q1", "f0", "f1", d.cast("int").alias("distance")).distinct()
 
 
@@ -165,3 +167,21 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         likeness(c("f0"), c("f1"), c("e0"), c("e1")).alias("near_edited"),
         likeness(c("f0"), c("f1"), c("g0"), c("g1")).alias("near_next"),
     )
+
+
+def with_hits(prints: DataFrame, queried: Column, radius: int = 3) -> DataFrame:
+    """prints (fingerprint as as_text() gives it, ...) plus n_near: for rows that are `queried`, how many
+    other rows have a fingerprint at most `radius` bits away; null for the rest. prints is read several
+    times, so it should be staged."""
+    half = lambda at: F.conv(F.substring("fingerprint", at, 16), 16, -10).cast("long")
+    halves = {"f0": half(1), "f1": half(17)}
+    sizes = prints.select(*(v.alias(c) for c, v in halves.items())).groupBy("f0", "f1").agg(F.count(F.lit(1)).alias("n"))
+    sizes = stage(sizes, "prints")
+    ask = F.coalesce(queried, F.lit(False))
+    asked = prints.where(ask).select(*(v.alias(c) for c, v in halves.items())).distinct()
+    hits = hamming_search(asked, sizes, radius).join(sizes, ["f0", "f1"]).groupBy("q0", "q1").agg(F.sum("n").alias("n"))
+    own = asked.join(sizes, ["f0", "f1"]).select(F.col("f0").alias("q0"), F.col("f1").alias("q1"), (F.col("n") - 1).alias("n"))
+    near = stage(own.unionByName(hits).groupBy("q0", "q1").agg(F.sum("n").alias("n_near")), "near")
+    met = prints.where(ask).join(near, (halves["f0"] == F.col("q0")) & (halves["f1"] == F.col("q1")), "left")
+    rest = prints.where(~ask).withColumn("n_near", F.lit(None).cast("long"))
+    return met.select(*(F.col(f"`{c}`") for c in prints.columns), "n_near").unionByName(rest)

@@ -326,3 +326,24 @@ def test_hamming_search_finds_all(spark):
     want = {(*rows[a], *rows[b]) for a in range(len(prints)) for b in range(len(prints)) if 0 < (prints[a] ^ prints[b]).bit_count() <= 3}
     assert got == want
     assert simhash.hamming_search(index.limit(0), index).count() == 0
+
+
+def test_op3_searches_every_twentieth_document(spark, tmp_path):
+    from markfuse.llm import queries
+
+    rng = random.Random(12)
+    words = lambda n: [rng.choice(["alpha", "beta", "gamma", "of", "x", "longer words", "niño"]) for _ in range(n)]
+    base = [words(rng.randrange(60, 900)) for _ in range(20)]
+    texts = [" ".join(b[:k] + b[k + 1 :]) for b in base for k in (0, 0, 5, 20, 30)] + [None, "", " "] + ["same text here"] * 5
+    rows = [(i * 5, t) for i, t in enumerate(texts)] + [(None, texts[0]), (20, texts[1]), (1000, "nothing else is like this one")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op3(spark, str(tmp_path))
+    assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
+    got = out.collect()
+    prints = [int(r.fingerprint, 16) for r in got]
+    near = lambda x: sum((x ^ y).bit_count() <= 3 for y in prints) - 1
+    assert len(got) == len(rows)
+    assert [r.n_near for r in got] == [near(x) if r.doc_id is not None and r.doc_id % 20 == 0 else None for x, r in zip(prints, got, strict=True)]
+    assert any(r.n_near for r in got) and any(r.n_near == 0 for r in got)
+    apart = {(x ^ y).bit_count() for x, r in zip(prints, got, strict=True) if r.n_near is not None for y in prints}
+    assert apart & {1, 2, 3}
