@@ -55,11 +55,11 @@ def assess_files(files: DataFrame) -> DataFrame:
 
 
 def recommend(assessed: DataFrame, ruleset: str = "code") -> DataFrame:
-    """assessed (format, tier, has_text_layer, lang, ...) plus parsers, in order. The strategy table is
-    a constant of this package, so it is broadcast."""
+    """assessed (format, tier, has_text_layer, lang, ...) plus parsers, in order; a strategy of tier 'any'
+    holds for every tier. The strategy table is a constant of this package, so it is broadcast."""
     strategy = registry.strategy(assessed.sparkSession).where(F.col("ruleset") == ruleset)
     strategy = strategy.select(F.col("format").alias("__f"), F.col("tier").alias("__t"), F.col("parsers").alias("__p"))
-    met = assessed.join(F.broadcast(strategy), (F.col("format") == F.col("__f")) & (F.col("tier") == F.col("__t")), "left")
+    met = assessed.join(F.broadcast(strategy), (F.col("format") == F.col("__f")) & F.col("__t").isin("any", F.col("tier")), "left")
     base = F.coalesce("__p", F.array(F.lit("upstage")))
     pdf, none = F.col("format") == "pdf", F.array().cast("array<string>")
     scan = F.when(pdf & ~F.col("has_text_layer") & ~F.array_contains(base, "upstage"), F.array(F.lit("upstage"))).otherwise(none)

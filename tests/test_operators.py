@@ -170,6 +170,18 @@ def test_recommended_parsers(spark):
     assert parsers(spark, "odd", "small") == ["upstage"]
 
 
+def test_every_ruleset_is_met(spark):
+    from markfuse.sources import registry
+
+    frame = lambda fmt, tiers: spark.createDataFrame([(fmt, t, True, "ko") for t in tiers], "format string, tier string, has_text_layer boolean, lang string")
+    for ruleset in {r for r, *_ in registry.STRATEGY}:
+        for fmt in {f for r, f, *_ in registry.STRATEGY if r == ruleset}:
+            want = {t: p for r, f, t, p in registry.STRATEGY if (r, f) == (ruleset, fmt)}
+            tiers = assess.TIERS if "any" in want else list(want)
+            got = assess.recommend(frame(fmt, tiers), ruleset).collect()
+            assert {r.tier: r.parsers for r in got} == {t: want.get(t, want.get("any")) for t in tiers} and len(got) == len(tiers), (ruleset, fmt)
+
+
 def test_files_without_pages(spark):
     rows = [("docx", 5 * 1024 * 1024 - 1), ("docx", 5 * 1024 * 1024), ("xlsx", 1), ("hwp", 10**9), ("pdf", 1)]
     got = assess.assess_files(spark.createDataFrame(rows, "format string, size_bytes long")).collect()
