@@ -63,6 +63,8 @@ def ship(spark: SparkSession) -> None:
         out.write(packed.getvalue())
         out.close()
         files.deleteOnExit(target)
+    elif not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {sc.master})")
     else:
         path = f"{tempfile.mkdtemp(prefix='markfuse-src-')}/{name}"
         Path(path).write_bytes(packed.getvalue())
