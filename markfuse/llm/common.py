@@ -7,6 +7,9 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 _own: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +27,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster set it; a local temporary folder only where it is unset."""
+    """spark.checkpoint.dir as the cluster set it; a local temporary folder only where it is unset and
+    driver and executors are one process, as in tests. Elsewhere executors would each write to a folder of
+    their own and the driver would read an empty table, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="markfuse-"))
     return f"file://{_own[0]}"
@@ -55,13 +64,18 @@ atexit.register(_clean)
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here, so a lost
-    executor costs no more than the running stage. Removed when the driver process ends."""
+    executor costs no more than the running stage. Removed by unstage(), at the end of the surrounding
+    scratch(), or when the driver process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/markfuse-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    free(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    inside = _scope.get()
+    if inside is not None:
+        inside.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
 def free(spark: SparkSession) -> None:
@@ -71,12 +85,47 @@ def free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def unstage(df: DataFrame) -> None:
+def _remove(path: str) -> None:
+    for item in [x for x in _written if x[1] == path]:
+        _delete(*item)
+        _written.remove(item)
+
+
+def remove(*staged: DataFrame) -> None:
     """Remove what stage() wrote once nothing reads it any more."""
-    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        for item in [x for x in _written if x[1].rsplit("/", 1)[-1] == path.rsplit("/", 1)[-1]]:
-            _delete(*item)
-            _written.remove(item)
+    for df in staged:
+        _remove(df._staged_at)
+
+
+def unstage(df: DataFrame) -> None:
+    """remove(), and the shuffle files that led to it: worth it for large tables."""
+    remove(df)
+    free(df.sparkSession)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables staged inside go at its end, but for those handed to the function it gives: the operators'
+    results, which are staged themselves so that nothing reads the others any more."""
+    mine: list[str] = []
+    outer = _scope.get()
+    token = _scope.set(mine)
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._staged_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scope.reset(token)
+        for path in mine:
+            if path not in kept:
+                _remove(path)
+            elif outer is not None:
+                outer.append(path)
+        free(spark)
 
 
 BUCKET = 1 << 15  # bits of a bitmap
@@ -112,31 +161,23 @@ def without(rows: DataFrame, keys: DataFrame, column: str, bits: int = 1 << 26)
     return marked.where("NOT __maybe").drop("__maybe").unionByName(met)
 
 
+def attach(rows: DataFrame, facts: DataFrame, column: str, bits: int = 1 << 26) -> DataFrame:
+    """rows plus the other columns of facts (staged; one row for each value of `column`), null where there
+    is none. Rows that the filter of sieve() clears pass where they lie."""
+    marked = _marked(rows, facts.select(column), column, bits, "left")
+    new = [c for c in facts.columns if c != column]
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    met = marked.where("__maybe").drop("__maybe").join(facts.withColumnRenamed(column, "__fact"), F.col(f"`{column}`") == F.col("__fact"), "left")
+    empty = [F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in new]
+    return marked.where("NOT __maybe").select(*own, *empty).unionByName(met.select(*own, *new))
+
+
 # ---------------------------------------------------------------- word hashing, vectorised
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_B, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_pow: dict[int, list[np.ndarray]] = {}
-
-
-def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, for i < n at least."""
-    key = int(base)
-    if key not in _pow or len(_pow[key][0]) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
-        inverse = np.uint64(pow(key, -1, 1 << 64))
-        both = []
-        for x in (base, inverse):
-            a = np.full(size, x, np.uint64)
-            a[0] = 1
-            both.append(np.multiply.accumulate(a))
-        _pow[key] = both
-    return _pow[key][0], _pow[key][1]
-
-
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """splitmix64's finaliser: a permutation of 64-bit values."""
     x = x + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & (2**64 - 1))
@@ -184,19 +225,42 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word from prefix sums of a polynomial, finalised."""
-    power, inverse = _powers(_B, len(data) + 1)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * inverse[starts])
+def word_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """words x 2: the halves of each word's 128-bit BLAKE2b digest. Distinct words are told apart byte by
+    byte and digested once for these rows."""
+    if not len(starts):
+        return np.zeros((0, 2), np.uint64)
+    offsets = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
+    flat = data[~WHITE[data]]
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+    known = column.dictionary_encode()
+    digest = b"".join([blake2b(w, digest_size=16).digest() for w in known.dictionary.to_pylist()])
+    return np.frombuffer(digest, np.uint64).reshape(-1, 2)[known.indices.to_numpy()]
+
+
+_LEFT, _TURN = np.uint64(0xD6E8FEB86659FD93), np.uint64(23)
+
+
+def _joined(a: np.ndarray, b: np.ndarray, gap: int) -> np.ndarray:
+    """Hash of what a[i] and b[i + gap] stand for, side by side."""
+    n = min(len(a), len(b) - gap)
+    y = b[gap : gap + n]
+    return mix(a[:n] * _LEFT + ((y << _TURN) | (y >> (np.uint64(64) - _TURN))))
 
 
 def window_hashes(h: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
-    """Hash of every `size` consecutive word hashes; rows' borders are the caller's affair."""
+    """Hash of every `size` consecutive word hashes, by doubling: a window's hash is mixed from those of its
+    two halves, so unlike a polynomial it has no structure that some arrangement of words cancels. Rows'
+    borders are the caller's affair."""
     if len(h) < size:
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(_Q, len(h) + 1)
-    prefix = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * power[: len(h)], out=prefix[1:])
-    return mix((prefix[size:] - prefix[:-size]) * inverse[: len(h) - size + 1], size + (salt << 20))
+    out, have, block, width, rest = None, 0, mix(h, salt), 1, size
+    while True:
+        if rest & 1:
+            out = block if out is None else _joined(out, block, have)
+            have += width
+        rest >>= 1
+        if not rest:
+            return mix(out[: len(h) - size + 1], size)
+        block = _joined(block, block, width)
+        width *= 2

@@ -12,7 +12,11 @@ members still lie in different components are then searched again, in blocks of
 members that have a possible partner of another component there are found from the signatures; then
 only their full sets are fetched, and pairs that their distances to a pivot do not rule out are verified.
 Only links leave a block, at most one for each pair of components in it. No pair of a bucket that
-may matter to the components is skipped, and none within a component is looked at.
+may matter to the components is skipped, and none within a component is looked at: the members of a
+bucket's largest component are dealt against the others only.
+
+A shingle is 64 bits, mixed non-linearly from 64 bits of the BLAKE2b digest of each of its words: two
+different shingles of a pair of documents are taken for one with chance 2**-64, whatever their words.
 
 With 30 bands of 6 rows a pair at similarity 0.85 shares no bucket with probability below 1e-6 (at
 0.8: 2e-4); the estimate passes over a pair at the threshold with probability below 1e-4, and only if
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 
 from markfuse.session import ship
 
-from .common import LOWER, chunks, mix, sieve, stage, unstage, window_hashes, word_hashes, words
+from .common import LOWER, chunks, mix, scratch, sieve, stage, unstage, window_hashes, without, word_digests, words
 from .graph import connected_components
 
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21  # rows and shingles of a block, about
@@ -43,7 +47,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarr
     """Sorted distinct shingle hashes of the rows, one after the other, and the rows' offsets in them."""
     data = LOWER[data]
     starts, ends, rows = words(data, off)
-    h = word_hashes(data, starts, ends)
+    h = np.ascontiguousarray(word_digests(data, starts, ends)[:, 0])
     n = np.diff(rows)
     out: list[np.ndarray] = []
     grams = window_hashes(h, size)
@@ -236,14 +240,43 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(F.lit(100) * F.col("x") >= F.lit(percent) * (F.col("both") - F.col("x"))).select("a", "b")
 
 
+def blocked(named: DataFrame) -> DataFrame:
+    """The members of buckets (key, rep, n, c, label) that lie in several components, dealt to block pairs:
+    key, i, j, rep, n, label, half (of the pair), same (i = j). Members of the bucket's largest component
+    are never paired with each other: a hot group of copies costs a row for each block of strangers, not
+    one for each block of its own. The others meet each other and all of the largest component."""
+    counts = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+    sums = counts.groupBy("key").agg(
+        F.max_by("label", F.struct("k", "label")).alias("most"), F.max(F.struct("k", "label", "s")).alias("top"), F.sum("k").alias("k"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("parts")
+    )
+    need = lambda k, s: F.greatest(F.ceil(k / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    open_ = sums.where("parts > 1").select("key", "most", need(F.col("k") - F.col("top.k"), F.col("s") - F.col("top.s")).alias("na"), need(F.col("top.k"), F.col("top.s")).alias("nm"))
+    open_ = stage(open_, "open")
+    # the centre has met all others
+    rest = named.where("rep != c").join(open_, "key").withColumn("big", F.col("label") == F.col("most"))
+    at = F.xxhash64("rep")
+    rest = rest.withColumn("bk", F.when(F.col("big"), F.col("na") + F.pmod(at, F.col("nm"))).otherwise(F.pmod(at, F.col("na"))).cast("int"))
+    last = F.when(F.col("big"), F.col("na")).otherwise(F.col("na") + F.col("nm")) - 1
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return rest.select(
+        "key", F.least("bk", "other").alias("i"), F.greatest("bk", "other").alias("j"), "rep", "n", "label", (F.col("bk") > F.col("other")).cast("int").alias("half"), (F.col("bk") == F.col("other")).alias("same")
+    )
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, bands: int = 30, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id, kept. Links: 100 * intersection >= percent * union."""
     ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    with scratch(docs.sparkSession) as keep:
+        return keep(stage(_judge(slim, percent, size, bands, rows), "near"))
+
+
+def _judge(slim: DataFrame, percent: int, size: int, bands: int, rows: int) -> DataFrame:
     kinds = "id bigint, n bigint, s0 bigint, s1 bigint, bands array<bigint>, sig binary"
     signed = stage(slim.mapInArrow(_sign(size, bands, rows), kinds), "signatures")
     classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("n", "s0", "s1").agg(F.min("id").alias("rep"))
     classes = stage(classes, "classes")
+    # a class is known by its least id and the digest of its set: an id may repeat with different texts
     reps = signed.join(classes.select(F.col("rep").alias("id"), "n", "s0", "s1"), ["id", "n", "s0", "s1"]).select(F.col("id").alias("rep"), "n", "bands", "sig")
     reps = stage(reps, "reps")
     s, k = percent / 100, bands * rows
@@ -254,40 +287,51 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, bands: in
     buckets = stage(spread.groupBy("key").agg(F.min("rep").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
     members = stage(sieve(spread, buckets.select("key"), "key", 1 << 27).join(buckets, "key"), "members")
     stars = members.where("rep != c").select(F.col("c").alias("a"), F.col("rep").alias("b"), F.col("n").alias("bn")).distinct()
-    looks = sieve(reps, members.select("rep").distinct(), "rep").select("rep", "n", "sig")
+    stars = stage(stars, "stars")
+    looks = stage(sieve(reps, members.select("rep").distinct(), "rep").select("rep", "n", "sig"), "looks")
     met = stars.join(looks.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").join(looks.select(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("sig").alias("sa")), "a")
     met = met.where(F.lit(100) * F.least("an", "bn") >= F.lit(percent) * F.greatest("an", "bn"))
     pairs = stage(met.select("a", "b", "sa", "sb").mapInArrow(_likely(least), "a bigint, b bigint"), "pairs")
+    unstage(stars)
 
     def full_sets(wanted: DataFrame, tag: str) -> DataFrame:
+        wanted = stage(wanted, "wanted")
         return stage(sieve(slim, wanted, "id").join(wanted, "id").mapInArrow(_sets(size), "id bigint, set array<bigint>"), tag)
 
     sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "sets")
     links = stage(verify(pairs, sets, percent), "links")
     unstage(sets)
-    found = connected_components(links)
+    found = stage(connected_components(links), "found")
 
     # buckets with members in different components, beyond the pairs with the centre
     named = members.where("m > 2").join(found.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left")
-    named = stage(named.select("key", "rep", "n", "c", "m", F.coalesce("label", "rep").alias("label")), "named")
-    open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("all_n")).where("lo < hi").select("key", "all_n")
-    # the centre has met all others
-    rest = named.join(open_, "key").where("rep != c").withColumn("nb", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("all_n") / BLOCK_SHINGLES)).cast("int"))
-    block = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
-    rest = rest.withColumn("bk", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rest = rest.select("key", F.least("bk", "other").alias("i"), F.greatest("bk", "other").alias("j"), "rep", "n", "label", (F.col("bk") > F.col("other")).cast("int").alias("half"), (F.col("bk") == F.col("other")).alias("same"))
+    named = stage(named.select("key", "rep", "n", "c", F.coalesce("label", "rep").alias("label")), "named")
+    rest = blocked(named)
     rest = rest.join(looks.select("rep", "sig"), "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     kept = "key bigint, i int, j int, rep bigint, n bigint, label bigint, half int, same boolean, sig binary"
     rest = rest.select(*(c.split()[0] for c in kept.split(", "))).mapInArrow(_open(percent, least), kept)
-    rest = stage(rest, "open")
+    rest = stage(rest, "blocks")
     sets = full_sets(rest.select(F.col("rep").alias("id")).distinct(), "sets")
     rest = rest.join(sets.withColumnRenamed("id", "rep"), "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     links2 = stage(rest.mapInArrow(_compare(percent, least), "a bigint, b bigint").distinct(), "links2")
     unstage(sets)
     unstage(members)
-    found = connected_components(links.unionByName(links2))
+    # most often no bucket brings a link that was not there: then the components stand
+    if not links2.isEmpty():
+        found = stage(connected_components(links.unionByName(links2)), "found")
     labelled = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s0", "s1", F.coalesce("component", "rep").alias("component"))
+    labelled = stage(labelled, "labelled")
     # an id that repeats with different texts is one node
     out = signed.select("id", "n", "s0", "s1").join(labelled, ["n", "s0", "s1"], "left")
     label = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select("id", F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(label == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that near_duplicates() does not keep, all its columns. A row goes by its id: rows
+    that share an id are one node, so they stay or go together (exact.drop_copies leaves no two rows equal
+    in id and text)."""
+    with scratch(docs.sparkSession) as keep:
+        found = near_duplicates(docs, percent, id_col=id_col, text_col=text_col)
+        gone = keep(stage(found.where(~F.col("kept")).select("id").distinct(), "gone"))
+    return without(docs, gone, id_col)

@@ -9,11 +9,16 @@ what repeats across documents at one length is looked at with the next:
    for every 38 words are grouped, not one for each word.
 2. Length a half. Only windows whose representative repeats go on; they are represented again, by
    their half-length sub-window of least hash.
-3. Full length. Only windows whose half-length representative repeats are compared as such, by the
-   pair of both hashes (128 bits); the least id of each is the occurrence that stays.
+3. Full length. Only windows whose half-length representative repeats are compared as such, by 128
+   bits: that representative, from one half of the words' 128-bit digests, and the window's own hash,
+   from the other half. The least id of each is the occurrence that stays.
 
-Groupings combine on the map side, so a passage in a third of all documents costs a row for each task;
-joins back are equi-joins that adaptive execution splits. Each level's rows go to the shared folder.
+Groupings combine on the map side, so a passage in a third of all documents costs a row for each task.
+Their results are written before anything joins them, so both sides of those joins are plain tables:
+rows that cannot match are left out by a filter of fixed size before the shuffle, and adaptive execution
+splits what a frequent key makes large. Windows are rows, not lists, until a single text's own are put
+together. A row is known by its id and a hash of its text, so rows without an id do not fall into one
+group; rows equal in both are judged alike.
 
 Defined cases: null text has no words; texts shorter than the window lose nothing; repetition within
 one document removes nothing; a null id counts as larger than all others, and rows with equal ids never
@@ -32,11 +37,7 @@ from pyspark.sql import functions as F
 
 from markfuse.session import ship
 
-from .common import chunks, stage, unstage, window_hashes, word_hashes, words
-
-LAST = 2**63 - 1
-TOP = np.uint64(2**64 - 1)
-
+from .common import attach, chunks, scratch, sieve, stage, unstage, window_hashes, word_digests, words
 
 def lengths(window: int) -> list[int]:
     """The lengths of the levels, each at most twice the one before."""
@@ -62,7 +63,8 @@ class Texts:
     def __init__(self, data: np.ndarray, off: np.ndarray, window: int):
         self.data, self.window = data, window
         self.starts, self.ends, self.rows = words(data, off)
-        self.h = word_hashes(data, self.starts, self.ends)
+        both = word_digests(data, self.starts, self.ends)
+        self.h, self.h2 = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
         n = np.diff(self.rows)
         self.row = np.repeat(np.arange(len(n)), n)
         self.full = np.zeros(len(self.h), bool)
@@ -86,9 +88,10 @@ def _first(keys: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def _level1(window: int, size: int):
+    """row, text -> representative, row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
             for a, _, data, off in chunks(batch.column(1)):
                 t = Texts(data, off, window)
                 at = np.flatnonzero(t.full)
@@ -96,30 +99,34 @@ def _level1(window: int, size: int):
                     continue
                 r, row = t.representative(size, 1)[at], t.row[at]
                 new = _first(r, row)
-                yield pa.RecordBatch.from_arrays([pa.array(r[new].view(np.int64)), pa.array(ids[a + row[new]])], ["h", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(r[new].view(np.int64)), batch.column(0).take(pa.array(a + row[new]))], ["h", "row"])
 
     return run
 
 
 def _level2(window: int, quarter: int, half: int):
+    """row, text, good -> representative, row, number of the first word, hashes of the windows from there on
+    that share the representative."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
             good = batch.column(2)
             for a, b, data, off in chunks(batch.column(1)):
                 t = Texts(data, off, window)
                 at = np.flatnonzero(t.full)
                 if not len(at):
                     continue
-                keep = _member(t, at, t.representative(quarter, 1), good, a, b)
-                at = at[keep]
+                at = at[_member(t, at, t.representative(quarter, 1), good, a, b)]
                 if not len(at):
                     continue
                 r, row = t.representative(half, 2)[at], t.row[at]
-                whole = window_hashes(t.h, window, 3)[at].view(np.int64)
-                new = np.flatnonzero(_first(r, row))
+                whole = window_hashes(t.h2, window, 3)[at].view(np.int64)
+                new = _first(r, row)
+                new[1:] |= at[1:] != at[:-1] + 1
+                new = np.flatnonzero(new)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(r)).astype(np.int32)), pa.array(whole))
-                yield pa.RecordBatch.from_arrays([pa.array(r[new].view(np.int64)), pa.array(ids[a + row[new]]), lists], ["h", "id", "w"])
+                first = at[new] - t.rows[row[new]]
+                yield pa.RecordBatch.from_arrays([pa.array(r[new].view(np.int64)), batch.column(0).take(pa.array(a + row[new])), pa.array(first.astype(np.int64)), lists], ["h", "row", "first", "w"])
 
     return run
 
@@ -138,26 +145,28 @@ def _member(t: Texts, at: np.ndarray, keys: np.ndarray, good: pa.Array, a: int,
 
 
 def _final(window: int, text_out: bool):
+    """id, text, numbers of the words that start a window to remove -> the result."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone = batch.column(2)
             n_words, n_removed, sha, kept_text = [], [], [], []
             for a, b, data, off in chunks(batch.column(1)):
-                t = Texts(data, off, window)
-                drop = np.zeros(len(t.h) + 1, np.int64)
-                at = np.flatnonzero(t.full)
-                if len(at):
-                    bad = at[_member(t, at, window_hashes(t.h, window, 3), gone, a, b)] if any(gone[i].is_valid for i in range(a, b)) else at[:0]
-                    np.add.at(drop, bad, 1)
-                    np.add.at(drop, bad + window, -1)
+                starts, ends, rows = words(data, off)
+                drop = np.zeros(len(starts) + 1, np.int64)
+                for i in range(a, b):
+                    if gone[i].is_valid:
+                        bad = np.unique(gone[i].values.to_numpy()) + rows[i - a]
+                        drop[bad] += 1
+                        drop[bad + window] -= 1
                 covered = np.cumsum(drop)[:-1] > 0
                 raw = data.tobytes()
                 for i in range(b - a):
-                    lo, hi = t.rows[i], t.rows[i + 1]
+                    lo, hi = rows[i], rows[i + 1]
                     c = covered[lo:hi]
                     if c.any():
                         keep = np.flatnonzero(~c) + lo
-                        text = b" ".join(raw[s:e] for s, e in zip(t.starts[keep].tolist(), t.ends[keep].tolist(), strict=True))
+                        text = b" ".join(raw[s:e] for s, e in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True))
                     else:
                         text = b" ".join(raw[off[i] : off[i + 1]].split())
                     n_words.append(hi - lo)
@@ -174,6 +183,14 @@ def _final(window: int, text_out: bool):
     return run
 
 
+def across(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys and lo, the least id, of the keys that rows (with a struct `row` of id and k) of different ids
+    share; a null id is larger than all others."""
+    ids = F.col("row.id")
+    found = rows.groupBy(*keys).agg(F.min(ids).alias("lo"), F.max(ids).alias("hi"), F.bool_or(ids.isNull()).alias("some_null"))
+    return found.where((F.col("lo") < F.col("hi")) | (F.col("lo").isNotNull() & F.col("some_null"))).select(*keys, "lo")
+
+
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and, if
     asked for, kept_text. Ids must be integers."""
@@ -181,21 +198,28 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     if window < 2:
         raise ValueError("a window has two words at least")
     quarter, half, _ = lengths(window)
-    slim = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-    across = lambda rows, *keys: rows.groupBy(*keys).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    one = stage(slim.mapInArrow(_level1(window, quarter), "h bigint, id bigint"), "level1")
-    good = one.join(across(one, "h").select("h"), "h", "left_semi").groupBy("id").agg(F.collect_set("h").alias("good"))
-    two = stage(slim.join(good, "id").select("id", "text", "good").mapInArrow(_level2(window, quarter, half), "h bigint, id bigint, w array<bigint>"), "level2")
-    unstage(one)
-    three = stage(two.join(across(two, "h").select("h"), "h", "left_semi"), "level3")
-    unstage(two)
-    # the least id of each repeated window, listed under its representative
-    first = across(three.select("h", "id", F.explode("w").alias("w")), "h", "w").groupBy("h").agg(F.collect_list(F.struct("w", "lo")).alias("first"))
-    earlier = F.transform(F.filter("first", lambda e: e["lo"] < F.col("id")), lambda e: e["w"])
-    gone = three.join(first, "h").select("id", F.array_intersect("w", earlier).alias("w")).where(F.size("w") > 0)
-    gone = stage(gone.groupBy("id").agg(F.flatten(F.collect_list("w")).alias("gone")), "gone")
-    unstage(three)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    slim = docs.select(F.struct(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("k")).alias("row"), text.alias("text"))
+    row = "row struct<id:bigint,k:bigint>"
+
+    with scratch(docs.sparkSession) as keep:
+        one = stage(slim.mapInArrow(_level1(window, quarter), f"h bigint, {row}"), "level1")
+        again = stage(across(one, "h").select("h"), "again1")
+        # a text's own representatives: as many as its words at most
+        good = stage(sieve(one, again, "h").join(again, "h", "left_semi").groupBy("row").agg(F.collect_set("h").alias("good")), "good")
+        unstage(one)
+        looks = sieve(slim, good.select("row"), "row").join(good, "row").select("row", "text", "good")
+        two = stage(looks.mapInArrow(_level2(window, quarter, half), f"h bigint, {row}, first bigint, w array<bigint>"), "level2")
+        again = stage(across(two, "h").select("h"), "again2")
+        three = stage(sieve(two, again, "h").join(again, "h", "left_semi"), "level3")
+        unstage(two)
+        every = three.select("h", "row", "first", F.posexplode("w").alias("step", "w")).select("h", "w", "row", (F.col("first") + F.col("step")).alias("at"))
+        stay = stage(across(every, "h", "w"), "stay")
+        later = F.col("row.id").isNull() | (F.col("lo") < F.col("row.id"))
+        bad = every.join(stay, ["h", "w"]).where(later).groupBy("row").agg(F.collect_set("at").alias("gone"))
+        gone = stage(bad, "gone")
+        unstage(three)
+        # whole texts of the result are not worth a second copy: only what this reads stays
+        keep(gone)
     kinds = "id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
-    out = slim.join(gone, "id", "left").select("id", "text", "gone").mapInArrow(_final(window, with_text), kinds)
-    return out.withColumn("id", F.when(F.col("id") != LAST, F.col("id")))
+    return attach(slim, gone, "row").select("row.id", "text", "gone").mapInArrow(_final(window, with_text), kinds)

@@ -130,6 +130,90 @@ def test_near(odd, none, percent):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def thue_morse(n, flip=False):
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_cancel_in_polynomial_hashes_differ(spark, n):
+    """Thue-Morse words agree in every polynomial hash modulo 2**64."""
+    x, y = thue_morse(n), thue_morse(n, True)
+    tail = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"{x} {tail}"), (2**63 - 1, f"{y} {tail}"), (3, x), (4, y), (None, f"{x} {tail}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (50, 61):
+        assert sorted([tuple(r) for r in substring.remove_repeats(docs, size).collect()], key=repr) == substring_brute(rows, size)
+    assert sorted([tuple(r) for r in minhash.near_duplicates(docs, 99).collect()], key=repr) == near_brute(rows, 99)
+
+
+def test_substring_rows_without_id(spark):
+    """Null ids are larger than all others and no row's words go because of another row without id."""
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, text), (None, text), (None, "x " + text), (None, "alone " * 9), (7, "y " + text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted([tuple(r) for r in substring.remove_repeats(docs, 6).collect()], key=repr) == substring_brute(rows, 6)
+    rows = [r for r in rows if r[0] is None]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 6).collect()
+    assert all(r.n_removed == 0 for r in got)
+
+
+def test_hot_bucket_pairs_strangers_only(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rows = [(1, i, 9, 0, 0) for i in range(200)] + [(1, 1000 + i, 9, 0, 1000 + i) for i in range(3)]
+    named = spark.createDataFrame(rows, "key long, rep long, n long, c long, label long")
+    got = minhash.blocked(named).collect()
+    met = defaultdict(set)
+    for r in got:
+        met[r.i, r.j].add(r.rep)
+    pairs = {frozenset((a, b)) for reps in met.values() for a in reps for b in reps if a != b}
+    stranger = [1000, 1001, 1002]
+    assert all(frozenset((s, x)) in pairs for s in stranger for x in [*range(1, 200), *stranger] if x != s)
+    assert len(got) < 200 + 3 * 60  # each of the many once for the block of strangers
+
+
+def test_hot_keys_are_split(spark):
+    """Joins of the staged tables: adaptive execution splits the frequent key of each."""
+    from markfuse.llm.common import scratch, stage
+
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    was = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        with scratch(spark):
+            rows = stage(spark.range(0, 60000, 1, 8).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id % 5000 END AS h", "struct(id, id * 7 AS k) AS row"), "rows")
+            again = stage(substring.across(rows, "h").select("h"), "again")
+            out = rows.join(again, "h", "left_semi")
+            out.write.format("noop").mode("overwrite").save()
+            joined = out.groupBy().count()
+            joined.collect()
+            assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_staged_files_go(spark, odd):
+    from markfuse.llm import common
+
+    before = len(common._written)
+    minhash.near_duplicates(odd).count()
+    assert len(common._written) == before + 1
+
+
+def test_no_local_staging_on_a_cluster():
+    from types import SimpleNamespace
+
+    from markfuse.llm.common import shared_dir
+
+    conf = SimpleNamespace(get=lambda k, d=None: None)
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
 def chained(seed, n=220):
     """Texts that differ by steps, so that links chain, stars overlap and pairs lie near the threshold."""
     rng = random.Random(seed)
