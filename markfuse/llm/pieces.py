@@ -1,17 +1,19 @@
 """SentencePiece encoding and decoding by one pass of an Aho-Corasick automaton over the pieces.
 
 The automaton reads a text once; at each position it follows the output links to every piece that ends
-there and relaxes the best path to that position. For unigram models the relaxation keeps the largest
-sum of scores (Viterbi). For byte-pair models the sum of scores is not what the library maximises, so
-the same pass relaxes by compatibility instead: a piece may follow the last piece of the best path
-before it only if the model's merges would leave the two apart, which holds for exactly one piece at
-each position; the path is then the library's own segmentation. Characters outside the vocabulary
-become byte pieces, or the unknown piece where the model has none.
+there and relaxes the best score of a path to that position (Viterbi). A piece's score is the model's; a
+character that no piece holds costs ten less than the worst piece and becomes byte pieces, or the unknown
+piece where the model has none. Of equally good paths, the one whose last piece is longer wins. For
+unigram models this is the library's own segmentation.
+
+Byte-pair models score a piece by its merge order, and the library does not maximise the sum of these
+scores but merges pair by pair. The best path over the model's scores is therefore another segmentation
+into the same pieces, with the same exact round trip; `by="merges"` gives the library's, from a heap of
+adjacent pairs.
 
 No piece has a word character before a space mark, so texts are encoded word by word, and workers
-remember short words in two bounded tables, of which the older is dropped when the newer is full; that
-changes no result. (Models that
-do have such pieces are encoded text by text.)
+remember short words in two bounded tables, of which the older is dropped when the newer is full and both
+when a task ends; that changes no result. (Models that do have such pieces are encoded text by text.)
 
 Decoding joins the pieces, gives bytes back their characters, turns marks into spaces and takes away
 the one the encoder put in front. The round trip is exact but for the mark U+2581 itself, which comes
@@ -25,9 +27,9 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -37,65 +39,52 @@ from pyspark.sql import functions as F
 from markfuse.session import ship
 
 MARK = "▁"
-REMEMBER, SHORT, PAIRS, STEPS = 1 << 18, 48, 1 << 19, 1 << 20
+REMEMBER, SHORT = 1 << 17, 48
 NORMAL, UNKNOWN, CONTROL, BYTE, USER = 1, 2, 3, 6, 4
+POINT = 21  # bits of a code point
 
 
 class Automaton:
-    """Aho-Corasick over strings: `step` gives the next state, `ends` the chain of matches there."""
+    """Aho-Corasick over strings in flat tables: `edge` has the trie's steps by state << POINT | character,
+    `out` the number of the string that ends at a state or -1, `link` the next state down the failure chain
+    where a string ends (0: none)."""
 
     def __init__(self, items: list[tuple[str, int]]):
-        self.next: list[dict[str, int]] = [{}]
-        self.out = [-1]
-        self.depth = [0]
+        self.edge: dict[int, int] = {}
+        edge, out, level = self.edge, array("i", [-1]), [[0]]
         for text, number in items:
             at = 0
-            for c in text:
-                after = self.next[at].get(c)
+            for depth, c in enumerate(text, 1):
+                key = at << POINT | ord(c)
+                after = edge.get(key)
                 if after is None:
-                    after = self.next[at][c] = len(self.next)
-                    self.next.append({})
-                    self.out.append(-1)
-                    self.depth.append(self.depth[at] + 1)
+                    after = edge[key] = len(out)
+                    out.append(-1)
+                    if depth == len(level):
+                        level.append([])
+                    level[depth].append(key)
                 at = after
-            self.out[at] = number
-        self.fail = [0] * len(self.next)
-        self.link = [0] * len(self.next)
-        queue = deque(self.next[0].values())
-        while queue:
-            at = queue.popleft()
-            for c, child in self.next[at].items():
-                back = self.fail[at]
-                while back and c not in self.next[back]:
-                    back = self.fail[back]
-                self.fail[child] = self.next[back].get(c, 0)
-                queue.append(child)
-            back = self.fail[at]
-            self.link[at] = back if self.out[back] >= 0 else self.link[back]
-        # what ends at each state, longest first: (length, number), along the output links
-        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.next)
-        for at in sorted(range(1, len(self.next)), key=self.depth.__getitem__):
-            own = ((self.depth[at], self.out[at]),) if self.out[at] >= 0 else ()
-            self.ends[at] = own + self.ends[self.link[at]]
-        self.spare = STEPS
-
-    def step(self, at: int, c: str) -> int:
-        """The next state where the trie has none: along the failure links, then remembered (up to STEPS
-        times, after which it is merely looked up each time)."""
-        back = self.fail[at]
-        while back and c not in self.next[back]:
-            back = self.fail[back]
-        after = self.next[back].get(c, 0)
-        if self.spare:
-            self.spare -= 1
-            self.next[at][c] = after
-        return after
+            out[at] = number
+        self.out, self.fail, self.link = out, array("i", bytes(4 * len(out))), array("i", bytes(4 * len(out)))
+        for keys in level[2:]:  # by depth, so what a state falls back to is known
+            for key in keys:
+                at = edge[key]
+                back = self.fail[at] = self.step(self.fail[key >> POINT], key & ((1 << POINT) - 1))
+                self.link[at] = back if out[back] >= 0 else self.link[back]
+
+    def step(self, state: int, c: int) -> int:
+        edge, fail = self.edge, self.fail
+        after = edge.get(state << POINT | c)
+        while after is None and state:
+            state = fail[state]
+            after = edge.get(state << POINT | c)
+        return after or 0
 
 
 class Pieces(dict):
     """A model; as a mapping, word -> its piece numbers as bytes of int32."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, by: str = "score"):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -103,70 +92,26 @@ class Pieces(dict):
         spec = model.normalizer_spec
         if spec.precompiled_charsmap:
             raise ValueError("models with a normalisation table are not supported")
+        self.path = {"score": self.best, "merges": self.merged}[by]
         self.prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
-        self.text = [p.piece for p in model.pieces]
-        self.kind = [p.type for p in model.pieces]
-        self.length = [len(t) for t in self.text]
-        self.score = [p.score for p in model.pieces]
-        self.unigram = model.trainer_spec.model_type == 1
-        self.unknown = self.kind.index(UNKNOWN)
-        self.bytes = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.text, self.kind, strict=True)) if k == BYTE}
+        text, kind = [p.piece for p in model.pieces], [p.type for p in model.pieces]
+        self.score = array("d", [p.score for p in model.pieces])
+        self.length = array("i", map(len, text))
+        self.unknown = kind.index(UNKNOWN)
+        self.bytes = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(text, kind, strict=True)) if k == BYTE}
         mark = MARK.encode()
-        self.raw = [bytes([int(t[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" if k == CONTROL else t.encode().replace(mark, b" ") for t, k in zip(self.text, self.kind, strict=True)]
+        self.raw = [bytes([int(t[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" if k == CONTROL else t.encode().replace(mark, b" ") for t, k in zip(text, kind, strict=True)]
+        plain = [(t, i) for i, (t, k) in enumerate(zip(text, kind, strict=True)) if k in (NORMAL, USER)]
+        self.number = dict(plain) if by == "merges" else {}
+        self.auto = Automaton(plain if by == "score" else [])
+        self.unknown_score = min((self.score[i] for _, i in plain), default=0.0) - 10.0
         self.older: dict[str, bytes] = {}
-        self.plain = [(t, i) for i, (t, k) in enumerate(zip(self.text, self.kind, strict=True)) if k in (NORMAL, USER)]
-        self.auto = Automaton(self.plain)
-        crossing = any(MARK in t.lstrip(MARK) for t, _ in self.plain)
-        chars = {c for t, _ in self.plain for c in t}
+        crossing = any(MARK in t.lstrip(MARK) for t, _ in plain)
+        chars = {c for t, _ in plain for c in t}
         stop = "".join(c for c in "\n\r\t" if c not in chars)
         # spaces become marks word by word: words of plain letters take less room with spaces
         gap = f"[ {MARK}]"
         self.split = re.compile("(?s).+" if crossing else (f"[{stop}]|" if stop else "") + f"{gap}*[^ {MARK}{stop}]+|{gap}+")
-        self.pairs: dict[int, bool] = {}
-        if not self.unigram:
-            self._ranks()
-        least = min((self.score[i] for _, i in self.plain), default=0.0)
-        self.unknown_score = least - 10.0
-
-    def _ranks(self) -> None:
-        """Merge order of the pieces, single characters first, and how each piece is merged last."""
-        order = sorted(self.plain, key=lambda x: (len(x[0]) > 1, -self.score[x[1]], x[1]))
-        self.rank = {i: r for r, (_, i) in enumerate(order)}
-        self.of_rank = [i for _, i in order]
-        place = {t: r for r, (t, _) in enumerate(order)}
-        self.parts: list[tuple[int, int]] = []
-        self.joins: dict[int, int] = {}
-        for r, (t, _) in enumerate(order):
-            found = (r, r)
-            for cut in range(len(t) - 1, 0, -1):
-                a, b = place.get(t[:cut], r), place.get(t[cut:], r)
-                if a < r and b < r and self._apart(a, b):
-                    found = (a, b)
-                    self.joins[a << 32 | b] = r
-                    break
-            self.parts.append(found)
-
-    def _apart(self, a: int, b: int) -> bool:
-        """Whether merging would leave the pieces of ranks a and b, side by side, as they are: undo the
-        later merge of the two until a join across the border would have come first, or none can."""
-        limit = 1 << 31
-        parts, joins = self.parts, self.joins
-        while True:
-            joined = joins.get(a << 32 | b)
-            if joined is not None and joined < limit:
-                return False
-            if a > b:
-                limit, a = a, parts[a][1]
-                if a == limit:
-                    limit, b = b + 1, parts[b][0]
-                    if b + 1 == limit:
-                        return True
-            else:
-                limit, b = b + 1, parts[b][0]
-                if b + 1 == limit:
-                    limit, a = a, parts[a][1]
-                    if a == limit:
-                        return True
 
     def __missing__(self, word: str) -> bytes:
         out = self.older.get(word)
@@ -179,75 +124,89 @@ class Pieces(dict):
             self[word] = out
         return out
 
-    def path(self, word: str) -> list[int]:
-        """Piece numbers of a word in one pass."""
-        return self._unigram(word) if self.unigram else self._merged(word)
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
 
-    def _merged(self, word: str) -> list[int]:
-        auto, pairs, rank = self.auto, self.pairs, self.rank
-        nexts, ends = auto.next, auto.ends
-        last = [-1]  # the piece that ends the best path to each position
-        add = last.append
+    def best(self, word: str) -> list[int]:
+        """Piece numbers of the path of best score, in one pass."""
+        edge, fail, out, link = self.auto.edge.get, self.auto.fail, self.auto.out, self.auto.link
+        score, length, unknown = self.score, self.length, self.unknown_score
+        last, best = [-1], [0.0]  # the piece that ends the best path to each position; that path's score
         state = i = 0
-        for c in word:
+        for c in map(ord, word):
+            after = edge(state << POINT | c)
+            while after is None and state:
+                state = fail[state]
+                after = edge(state << POINT | c)
+            state = after or 0
             i += 1
-            after = nexts[state].get(c)
-            state = auto.step(state, c) if after is None and state else after or 0
-            found = -1
-            for d, p in ends[state]:
-                before = last[i - d]
-                if before < 0:  # the start, or an unknown character: nothing merges across
-                    found = p
-                    break
-                key = before << 20 | p
-                ok = pairs.get(key)
-                if ok is None:
-                    if len(pairs) >= PAIRS:
-                        pairs.clear()
-                    ok = pairs[key] = self._apart(rank[before], rank[p])
-                if ok:
-                    found = p
-                    break
-            add(found)
-        return self._back(word, last)
-
-    def _unigram(self, word: str) -> list[int]:
-        auto, score, n = self.auto, self.score, len(word)
-        last, best = [-1] * (n + 1), [0.0] * (n + 1)
-        state = 0
-        for i in range(1, n + 1):
-            after = auto.next[state].get(word[i - 1])
-            state = auto.step(state, word[i - 1]) if after is None and state else after or 0
-            top, found = -1e300, -1
-            for d, p in auto.ends[state]:
-                total = best[i - d] + score[p]
+            top, found, n = -1e300, -1, 0
+            at = state if out[state] >= 0 else link[state]
+            while at:
+                p = out[at]
+                n = length[p]
+                total = best[i - n] + score[p]
                 if total > top:
                     top, found = total, p
-            if not auto.ends[state] or auto.ends[state][-1][0] > 1:  # no piece of this character alone
-                total = best[i - 1] + self.unknown_score
+                at = link[at]
+            if n != 1:  # no piece of this character alone
+                total = best[-1] + unknown
                 if total > top:
                     top, found = total, -1
-            last[i], best[i] = found, top
-        return self._back(word, last)
-
-    def _back(self, word: str, last: list[int]) -> list[int]:
+            last.append(found)
+            best.append(top)
         ids: list[int] = []
-        length = self.length
-        i = len(word)
         while i:
             p = last[i]
             if p >= 0:
                 ids.append(p)
                 i -= length[p]
-                continue
-            i -= 1
-            if self.bytes:
-                ids.extend(self.bytes[b] for b in reversed(word[i].encode("utf-8", "surrogatepass")))
-            elif not (ids and ids[-1] == self.unknown):
-                ids.append(self.unknown)
+            else:
+                i -= 1
+                ids += self.odd(word[i], ids)[::-1]
         ids.reverse()
         return ids
 
+    def merged(self, word: str) -> list[int]:
+        """Piece numbers as byte-pair merging leaves them: the adjacent pair whose piece scores best, the
+        leftmost of equal ones, is joined until no pair is a piece."""
+        number, score, n = self.number, self.score, len(word)
+        part: list[str] = list(word)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def pair(i: int, j: int) -> tuple | None:
+            p = number.get(part[i] + part[j])
+            return None if p is None else (-score[p], i, part[i] + part[j])
+
+        heap = [x for x in (pair(i, i + 1) for i in range(n - 1)) if x]
+        heapify(heap)
+        while heap:
+            _, i, text = heappop(heap)
+            j = after[i]
+            if j >= n or part[i] + part[j] != text:  # one of the two has been joined elsewhere
+                continue
+            part[i], part[j] = text, ""
+            k = after[i] = after[j]
+            for a, b in ((before[i], i), (i, k)):
+                x = pair(a, b) if a >= 0 and b < n else None
+                if x:
+                    heappush(heap, x)
+            if k < n:
+                before[k] = i
+        ids: list[int] = []
+        for text in part:
+            if text:
+                p = number.get(text)
+                ids += self.odd(text, ids) if p is None else [p]
+        return ids
+
+    def odd(self, c: str, beside: list[int]) -> list[int]:
+        """What stands for a character without a piece; unknown pieces side by side are one."""
+        if self.bytes:
+            return [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")]
+        return [] if beside and beside[-1] == self.unknown else [self.unknown]
+
     def encode(self, text: str | None) -> bytes:
         """Piece numbers as bytes of int32."""
         if not text:
@@ -260,26 +219,27 @@ class Pieces(dict):
             text = " " + text
         return b"".join(map(self.__getitem__, self.split.findall(text)))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         whole = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return whole[1:] if self.prefix and whole.startswith(" ") else whole
 
 
-@lru_cache(maxsize=4)
-def pieces(path: str) -> Pieces:
+@lru_cache(maxsize=1)
+def pieces(path: str, by: str = "score") -> Pieces:
     with open(path, "rb") as f:
-        return Pieces(f.read())
+        return Pieces(f.read(), by)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), check: bool = False, by: str = "score") -> DataFrame:
     """id, the columns of `keep`, n_pieces, pieces array<int> and, with check, round_trip (decoding gives
-    the text back). path: the model's file, which each executor opens itself."""
+    the text back). path: the model's file, which each executor opens itself. by: score (best path) or
+    merges (a byte-pair model as the library applies it)."""
     ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), *(F.col(k) for k in keep), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     names = slim.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path)
+        model = pieces(path, by)
         for whole in batches:
             for first in range(0, whole.num_rows, 256):
                 batch = whole.slice(first, 256)
@@ -290,10 +250,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     flat.frombytes(ids)
                     offsets.append(len(flat))
                     if check:
-                        same.append(model.decode(flat[offsets[-2] :].tolist()) == text)
+                        same.append(model.decode(flat[offsets[-2] :]) == text)
                 lists = pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)))
                 out = [*batch.columns[: len(names)], pa.array(np.diff(offsets).astype(np.int64)), lists]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(same, pa.bool_())] if check else out, [*names, "n_pieces", "pieces", *["round_trip"] * check])
+        model.forget()  # the worker may serve other steps next
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*[F.col(f"`{n}`") for n in names]).schema)
     return slim.mapInArrow(run, f"{kinds}, n_pieces bigint, pieces array<int>" + ", round_trip boolean" * check)
