@@ -23,6 +23,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from markfuse.session import ship
 
-from .common import stage
+from .common import scratch, stage
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
@@ -47,7 +48,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _RUN = re.compile(r"[+(]?[0-9](?:[\x20().\-/]{0,3}[0-9]){6,}")
-_TOKEN = re.compile(r"[^\s@]*@[^\s@]*")
+_NEXT = re.compile(r"[^\s@]*")
 _WORD = re.compile(r"(\w+)\W*$")
 
 
@@ -123,18 +124,31 @@ def _shape(piece: str, before: str) -> list[int]:
 
 def _key(piece: str) -> str:
     if "@" in piece:
-        return "@" + "".join(c for c in piece.lower() if c.isalnum())
+        letters = "".join(c for c in piece.lower() if c.isalnum())
+        return "@" + (letters if len(letters) <= 64 else hashlib.sha256(letters.encode("utf-8", "surrogatepass")).hexdigest())
     return "".join(c for c in piece if "0" <= c <= "9")[-7:]
 
 
+def tokens_at(text: str) -> list[tuple[int, int]]:
+    """Leftmost, non-overlapping runs without white space around one at sign; each sign is widened to both
+    sides up to the run before, so every character is looked at once."""
+    out, done, at = [], 0, text.find("@")
+    while at >= 0:
+        a = at
+        while a > done and not text[a - 1].isspace():
+            a -= 1
+        done = _NEXT.match(text, at + 1).end()
+        out.append((a, done))
+        at = text.find("@", done)
+    return out
+
+
 def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[int]]]:
     """(start, end, base kind or OTHER, key, features) of every mention by start."""
     found = {(a, b): k for a, k, b in spans}
     taken = sorted(found)
 
     def free(a: int, b: int) -> bool:
-        import bisect
-
         i = bisect.bisect_left(taken, (b, -1))
         return i == 0 or all(taken[j][1] <= a for j in range(max(0, i - 4), i))
 
@@ -143,9 +157,9 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
             if free(*m.span()):
                 found.setdefault(m.span(), OTHER)
     if "@" in text:
-        for m in _TOKEN.finditer(text):
-            if m.end() - m.start() > 2 and free(*m.span()):
-                found.setdefault(m.span(), OTHER)
+        for a, b in tokens_at(text):
+            if b - a > 2 and free(a, b):
+                found.setdefault((a, b), OTHER)
     return [(a, b, k, _key(text[a:b]), _shape(text[a:b], text[max(0, a - 40) : a])) for (a, b), k in sorted(found.items())]
 
 
