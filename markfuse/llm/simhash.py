@@ -18,12 +18,13 @@ equal fingerprints; repeated rows, null ids, empty tables and other columns are
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import scratch, sieve, stage
 
 LANES = 0x0001000100010001
 BLOCK = 13  # 2**13 terms of weight 3 stay below 2**15 in each lane
@@ -89,59 +90,85 @@ def likeness(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 
 def _block_keys(blocks: int, agree: int) -> Column:
-    """Array of (table, key): the chosen blocks' bits, permuted to the front of the fingerprint."""
-    text = F.concat(F.lpad(F.bin("f0"), 64, "0"), F.lpad(F.bin("f1"), 64, "0"))
+    """Array of the keys of the tables: the number of the table and the chosen blocks' bits."""
     width = BITS // blocks
-    cuts = [(i * width, width if i < blocks - 1 else BITS - i * width) for i in range(blocks)]
-    part = [F.substring(text, a + 1, n) for a, n in cuts]
-    return F.array(
-        *(F.struct(F.lit(t).alias("table"), F.xxhash64(*(part[i] for i in chosen)).alias("key")) for t, chosen in enumerate(combinations(range(blocks), agree)))
-    )
+    cuts = [(i * width, (i + 1) * width if i < blocks - 1 else BITS) for i in range(blocks)]
+    mask = [((1 << (b - a)) - 1) << (BITS - b) for a, b in cuts]
+    signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+    keys = []
+    for t, chosen in enumerate(combinations(range(blocks), agree)):
+        m = sum(mask[i] for i in chosen)
+        keys.append(F.xxhash64(F.lit(t), F.col("f0").bitwiseAND(signed(m >> 64)), F.col("f1").bitwiseAND(signed(m & (1 << 64) - 1))))
+    return F.array(*keys)
 
 
 def hamming_search(queries: DataFrame, index: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     """(q0, q1, f0, f1, distance) for all distinct fingerprints of `index` within `radius` of each
-    distinct fingerprint of `queries` (columns f0, f1); a fingerprint does not find itself."""
+    distinct fingerprint of `queries` (columns f0, f1); a fingerprint does not find itself. Rows of the
+    tables whose key no query has are left out before the shuffle."""
     if not 0 <= radius < blocks:
         raise ValueError("radius must be below the number of blocks")
     keys = _block_keys(blocks, blocks - radius)
     side = lambda df: df.select("f0", "f1").where(F.col("f0").isNotNull() & F.col("f1").isNotNull()).distinct().select("f0", "f1", F.explode(keys).alias("k"))
-    q = side(queries).select(F.col("f0").alias("q0"), F.col("f1").alias("q1"), F.col("k").alias("qk"))
+    q = stage(side(queries).select(F.col("f0").alias("q0"), F.col("f1").alias("q1"), F.col("k").alias("qk")), "asked")
     d = distance(F.col("q0"), F.col("q1"), F.col("f0"), F.col("f1"))
-    met = q.join(side(index), (F.col("qk") == F.col("k")) & (d > 0) & (d <= radius))
+    met = q.join(sieve(side(index), q.select("qk"), "k"), (F.col("qk") == F.col("k")) & (d > 0) & (d <= radius))
     return met.select("q0", "q1", "f0", "f1", d.cast("int").alias("distance")).distinct()
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 128) -> DataFrame:
-    """Each row with the text of the next one by descending id (after the last: the first), by one
-    shuffle and no single-task window: bucket, rn, ghost, id, text, next_text.
+SUB = 20  # bits of a bucket's number that tell its parts apart
+
 
-    Ids fall into buckets cut at approximate percentiles, which are ids of the table; the row at a cut
-    opens its bucket and is copied, as a ghost, to the end of the bucket before it, so every row finds
-    its successor in its own bucket. Null ids come last, rows with equal ids by their texts' hashes."""
-    low = -(1 << 63)
+def _placed(docs: DataFrame, id_col: str, text_col: str, per_bucket: int) -> DataFrame:
+    """id, text, nk and tie (the order: ids descending, null ids last, rows with equal ids by their texts'
+    hashes) and bucket, which ascends with the order. Buckets are cut at approximate percentiles of the
+    ids; an id (or null) that holds several of them is cut further by tie."""
+    spark = docs.sparkSession
+    low = F.lit(-(1 << 63)).cast("long")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    k = F.coalesce("id", F.lit(low).cast("long"))
-    rows, top = base.agg(F.count(F.lit(1)), F.max(k)).first()
-    n = max(1, min(8192, rows // per_bucket))
-    cuts = sorted({*base.agg(F.percentile_approx(k, [i / n for i in range(1, n)], 20 * n)).first()[0], top}) if n > 1 else [low if top is None else top]
-    c = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
-    steps = F.array(*(F.lit(1 << s) for s in range(len(cuts).bit_length() - 1, -1, -1)))
+    base = base.withColumn("k", F.coalesce("id", low))
+    rows = base.count()
+    n = max(1, min(max(8192, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), rows // per_bucket))
+    found = base.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
+    times = Counter(found)
+    cuts = sorted(times)
+    listed = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    c = listed(cuts) if cuts else F.array().cast("array<bigint>")
+    m = listed([times[x] for x in cuts]) if cuts else c
+    steps = F.array(*(F.lit(1 << s) for s in range(len(cuts).bit_length() - 1, -1, -1))) if cuts else F.array().cast("array<int>")
     below = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.get(c, at + s - 1), F.lit(2**63 - 1)) < F.col("k"), at + s).otherwise(at))
-    placed = base.withColumn("k", k).withColumn("bucket", below)
-    ghost = F.when(F.get(c, F.col("bucket")) == F.col("k"), F.struct(((F.col("bucket") + 1) % len(cuts)).alias("bucket"), F.lit(1).alias("ghost")))
-    spots = F.array_compact(F.array(F.struct("bucket", F.lit(0).alias("ghost")), ghost))
-    from pyspark.sql import Window
+    tie = F.xxhash64("text")
+    placed = base.withColumns({"nk": F.bitwise_not("k"), "tie": tie, "below": below})
+    share = F.shiftrightunsigned(F.col("tie").bitwiseXOR(low), 64 - SUB)  # ascends with tie
+    part = F.when((F.get(c, F.col("below")) == F.col("k")) & (F.get(m, F.col("below")) > 1), F.shiftright(share * F.least(F.get(m, F.col("below")), F.lit(1 << SUB)), SUB))
+    bucket = (F.lit(len(cuts)) - F.col("below")).cast("long") * (1 << (SUB + 1)) + F.coalesce(part, F.lit(1 << SUB))
+    return placed.select("id", "text", "nk", "tie", bucket.alias("bucket"))
 
-    w = Window.partitionBy("bucket").orderBy("ghost", F.col("k").desc(), F.col("tie"))
-    spread = placed.select("id", "k", "text", F.explode(spots).alias("s")).select("s.bucket", "s.ghost", "id", "k", "text", F.xxhash64("text").alias("tie"))
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 128) -> DataFrame:
+    """Each row with the text of the next one by descending id (after the last: the first), by one
+    shuffle of the texts and no single-task window: bucket, rn, ghost, id, text, next_text.
+
+    Rows fall into buckets that follow the order. The first row of each bucket is copied, as a ghost, to
+    the end of the bucket before it, so every row finds its successor in its own bucket. The number of
+    buckets grows with the table up to 8,192 or four times the cluster's shuffle partitions, so a task's
+    share is the cluster's to set as for any shuffle, and what is broadcast (a key for each bucket) is
+    bounded by it."""
+    spark = docs.sparkSession
+    placed = _placed(docs, id_col, text_col, per_bucket)
+    heads = stage(placed.groupBy("bucket").agg(F.min(F.struct("nk", "tie")).alias("x")).select("bucket", "x.nk", "x.tie"), "heads")
+    order = sorted(r[0] for r in heads.select("bucket").collect())  # as many as buckets
+    chain = spark.createDataFrame([(b, order[i - 1]) for i, b in enumerate(order)], "bucket bigint, `into` bigint")
+    first = F.broadcast(heads.join(chain, "bucket"))
+    ghosts = placed.join(first, ["bucket", "nk", "tie"]).dropDuplicates(["bucket"])
+    ghosts = stage(ghosts.select(F.col("into").alias("bucket"), F.lit(1).alias("ghost"), "nk", "tie", "id", "text"), "ghosts")
+    w = Window.partitionBy("bucket").orderBy("ghost", "nk", "tie")
+    spread = placed.select("bucket", F.lit(0).alias("ghost"), "nk", "tie", "id", "text").unionByName(ghosts)
     return spread.select("bucket", F.row_number().over(w).alias("rn"), "ghost", "id", "text", F.lead("text").over(w).alias("next_text"))
 
 
 def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    from pyspark.sql import Window
-
     pairs = with_next(docs, id_col, text_col)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
@@ -175,13 +202,14 @@ def with_hits(prints: DataFrame, queried: Column, radius: int = 3) -> DataFrame:
     times, so it should be staged."""
     half = lambda at: F.conv(F.substring("fingerprint", at, 16), 16, -10).cast("long")
     halves = {"f0": half(1), "f1": half(17)}
-    sizes = prints.select(*(v.alias(c) for c, v in halves.items())).groupBy("f0", "f1").agg(F.count(F.lit(1)).alias("n"))
-    sizes = stage(sizes, "prints")
     ask = F.coalesce(queried, F.lit(False))
-    asked = prints.where(ask).select(*(v.alias(c) for c, v in halves.items())).distinct()
-    hits = hamming_search(asked, sizes, radius).join(sizes, ["f0", "f1"]).groupBy("q0", "q1").agg(F.sum("n").alias("n"))
-    own = asked.join(sizes, ["f0", "f1"]).select(F.col("f0").alias("q0"), F.col("f1").alias("q1"), (F.col("n") - 1).alias("n"))
-    near = stage(own.unionByName(hits).groupBy("q0", "q1").agg(F.sum("n").alias("n_near")), "near")
+    with scratch(prints.sparkSession) as keep:
+        sizes = prints.select(*(v.alias(c) for c, v in halves.items())).groupBy("f0", "f1").agg(F.count(F.lit(1)).alias("n"))
+        sizes = stage(sizes, "prints")
+        asked = stage(prints.where(ask).select(*(v.alias(c) for c, v in halves.items())).distinct(), "queries")
+        hits = hamming_search(asked, sizes, radius).join(sizes, ["f0", "f1"]).groupBy("q0", "q1").agg(F.sum("n").alias("n"))
+        own = asked.join(sizes, ["f0", "f1"]).select(F.col("f0").alias("q0"), F.col("f1").alias("q1"), (F.col("n") - 1).alias("n"))
+        near = keep(stage(own.unionByName(hits).groupBy("q0", "q1").agg(F.sum("n").alias("n_near")), "near"))
     met = prints.where(ask).join(near, (halves["f0"] == F.col("q0")) & (halves["f1"] == F.col("q1")), "left")
     rest = prints.where(~ask).withColumn("n_near", F.lit(None).cast("long"))
     return met.select(*(F.col(f"`{c}`") for c in prints.columns), "n_near").unionByName(rest)
