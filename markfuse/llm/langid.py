@@ -9,7 +9,7 @@ Up to five languages use the exhaustive code (2**(L-1) - 1 bits, distance 2**(L-
 balanced codewords, the best of many draws by least distance.
 
 Learning uses a bounded, documented sample: at most `sample` labelled rows in total, equally many for
-each language, those of lowest hash of id. Trigram counts are made by the executors; the driver gets
+each language, those of lowest hash of id and text. Trigram counts are made by the executors; the driver gets
 at most sample x DIM numbers. Prediction is a vectorised pass over every whole text.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; null labels teach nothing;
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markfuse.session import ship
@@ -96,27 +96,24 @@ def codebook(n: int, seed: int = 7) -> np.ndarray:
 
 
 def learn(docs: DataFrame, learn_if: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 1200) -> Model:
-    """Fit on a bounded sample of the rows with a label for which learn_if holds."""
+    """Fit on a bounded sample of the rows with a label for which learn_if holds. Two scans of the texts:
+    one counts, one takes. With more than `sample` languages the most frequent ones are learned (of
+    equally frequent ones the first by name); the others are never predicted."""
     ship(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (learn_if if learn_if is not None else F.lit(True)))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy("lang").limit(sample + 1).collect()}
-    if len(sizes) > sample:
-        raise ValueError(f"more than {sample} languages; raise `sample`")
+    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.ones((0, 0)), np.zeros((DIM + 1, 0)), np.ones(0))
     each = max(1, sample // len(langs))
-    # a hash threshold thins each language to about twice its share, then the lowest hashes are taken
+    # a hash threshold thins each language to about twice its share (and some), then the lowest hashes are
+    # taken; what is ranked is bounded by that, whatever the table's size. Repeated rows count once
     span = 1 << 30
-    near = F.lit(False)
-    for lang, n in sizes.items():
-        near = near | ((F.col("lang") == lang) & (F.pmod("h", F.lit(span)) < min(span, 2 * span * each // n + 1)))
-    thin = rows.where(near)
-    parts = [thin.where(F.col("lang") == lang).orderBy("h", "text").limit(each) for lang in langs]
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen.unionByName(p)
+    limits = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(span, span * (2 * each + 20) // n + 1))))
+    thin = rows.where(F.pmod("h", F.lit(span)) < limits[F.col("lang")]).dropDuplicates(["lang", "h"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(span)), "h"))
+    chosen = thin.withColumn("rank", rank).where(F.col("rank") <= each)
     got = chosen.select("lang", "text").mapInArrow(_counts("string"), "lang string, at array<int>, n array<bigint>").toArrow()
     at, n = (got.column(c).combine_chunks() for c in ("at", "n"))
     size = np.diff(at.offsets.to_numpy())
