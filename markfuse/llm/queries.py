@@ -157,17 +157,41 @@ WITH RECURSIVE raw AS (
          translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
+tag AS (
+  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS t FROM raw WHERE url LIKE '%://%' AND regexp_matches(html, '(?i)canonical|refresh')),
+attr AS (
+  SELECT url, t,
+    regexp_replace(regexp_extract(t, '(?is)[\s"''/]rel\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '^["'']|["'']$', '', 'g') AS rel,
+    regexp_replace(regexp_extract(t, '(?is)[\s"''/]href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '^["'']|["'']$', '', 'g') AS href,
+    regexp_replace(regexp_extract(t, '(?is)[\s"''/]http-equiv\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '^["'']|["'']$', '', 'g') AS kind,
+    regexp_replace(regexp_extract(t, '(?is)[\s"''/]content\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '^["'']|["'']$', '', 'g') AS content
+  FROM tag),
+found AS (
+  SELECT url, trim(replace(CASE WHEN regexp_matches(t, '(?i)^<link') AND regexp_matches(rel, '(?i)(^|\s)canonical(\s|$)') THEN href
+    WHEN regexp_matches(t, '(?i)^<meta') AND regexp_matches(kind, '(?i)^\s*refresh\s*$') THEN regexp_extract(content, '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1) END, '&amp;', '&'), ' ') AS goal,
+    regexp_extract(url, '(?s)^.*?://[^/?#]*(?:/[^?#]*/|/)?') AS folder
+  FROM attr),
+whole AS (
+  SELECT url, CASE WHEN regexp_matches(goal, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN goal
+    WHEN goal LIKE '//%' THEN regexp_extract(url, '(?s)^.*?:') || goal
+    WHEN goal LIKE '/%' THEN regexp_extract(url, '(?s)^.*?://[^/?#]*') || goal
+    WHEN goal LIKE '?%' THEN regexp_extract(url, '(?s)^[^?#]*') || goal
+    ELSE folder || CASE WHEN folder LIKE '%/' THEN '' ELSE '/' END || goal END AS target
+  FROM found WHERE goal <> '' AND goal NOT LIKE '#%'),
+bare AS (SELECT split_part(url, '#', 1) AS a, split_part(target, '#', 1) AS b FROM whole),
+head AS (SELECT a, b, regexp_extract(a, '(?s)^.*?://[^/?]*') AS ha, regexp_extract(b, '(?s)^.*?://[^/?]*') AS hb FROM bare),
 link AS (
-  SELECT split_part(url, '#', 1) AS a, unnest([
-    regexp_replace(regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^\s"''>]*)', 1), '#.*$', ''),
-    regexp_replace(regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1), '#.*$', '')]) AS b
-  FROM raw WHERE url LIKE '%://%'),
-edge AS (SELECT a, b FROM link WHERE b LIKE '%://%' UNION SELECT b, a FROM link WHERE b LIKE '%://%'),
+  SELECT translate(ha, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || a[length(ha) + 1:] AS a,
+         translate(hb, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || b[length(hb) + 1:] AS b FROM head),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach(node, other) AS (SELECT a, b FROM edge UNION SELECT r.node, e.b FROM reach r JOIN edge e ON r.other = e.a),
-every AS (SELECT page_id, url, host, path FROM raw UNION ALL
-  SELECT NULL, other, regexp_extract(other, '(?s)^.*?://([^/?#]*)', 1), regexp_extract(other, '(?s)^.*?://[^/?#]*([^?#]*)', 1) FROM (SELECT DISTINCT other FROM reach)),
+every AS (
+  SELECT page_id, host, path, CASE WHEN url LIKE '%://%' THEN translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || u[length(h) + 1:] END AS node
+  FROM (SELECT *, split_part(url, '#', 1) AS u, regexp_extract(split_part(url, '#', 1), '(?s)^.*?://[^/?]*') AS h FROM raw)
+  UNION ALL
+  SELECT NULL, regexp_extract(other, '(?s)^.*?://([^/?#]*)', 1), regexp_extract(other, '(?s)^.*?://[^/?#]*([^?#]*)', 1), other FROM (SELECT DISTINCT other FROM reach)),
 hit AS (
-  SELECT page_id, url, host, path,
+  SELECT page_id, node, host, path,
     CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
          WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
          WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
@@ -175,12 +199,12 @@ hit AS (
   FROM every),
 own AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS v FROM hit),
 carried AS (
-  SELECT r.node FROM reach r JOIN own o ON split_part(o.url, '#', 1) = r.other
+  SELECT r.node FROM reach r JOIN own o ON o.node = r.other
   GROUP BY r.node HAVING bool_or(o.v = 'block') AND NOT coalesce(bool_or(o.v = 'allow'), false))
 SELECT page_id, host, path, rule,
        coalesce(v, CASE WHEN c.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
        v IS NULL AND c.node IS NOT NULL AS propagated
-FROM own LEFT JOIN carried c ON split_part(own.url, '#', 1) = c.node
+FROM own LEFT JOIN carried c ON own.node = c.node
 WHERE page_id IS NOT NULL
 """,
 }

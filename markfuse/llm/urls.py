@@ -7,7 +7,7 @@ stands, and in a component that holds an explicitly allowed URL no block is carr
 neither a rule nor an alias judges are allowed.
 
 Edges come from the pages (<link rel=canonical>, <meta http-equiv=refresh>) and from an optional
-table of redirects; a fragment does not make another URL. Targets that are no pages count as aliases
+table of redirects; neither a fragment nor the case of scheme and host makes another URL. Targets that are no pages count as aliases
 too, and their rules are carried on as well.
 
 Defined cases: null or scheme-less URLs have an empty host and path, fit no rule, link to nothing and
@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import attach, scratch, stage
 from .graph import connected_components
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -51,33 +51,41 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return found
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of a tag's attribute, without quotes; empty if it has none."""
+    value = F.regexp_extract(tag, rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.regexp_replace(value, r"""^["']|["']$""", "")
+
+
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): each page's URL and the absolute target of its canonical link or refresh redirect."""
-    url, html = F.col(url_col), F.col(html_col)
-    link = F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    href = F.regexp_extract(link, r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 0)
-    canonical = F.regexp_replace(F.regexp_replace(href, r"(?is)^href\s*=\s*", ""), r"""^["']|["']$""", "")
-    meta = F.regexp_extract(html, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    refresh = F.regexp_extract(meta, r"""(?is)\burl\s*=\s*["']?([^"'>\s]+)""", 1)
-    scheme = F.regexp_extract(url, r"(?s)^(.*?:)//", 1)
-    root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    raw = pages.where(url.contains("://") & html.isNotNull()).select(
-        url.alias("a"), scheme.alias("scheme"), root.alias("root"), folder.alias("folder"), F.explode(F.array(canonical, refresh)).alias("to")
-    )
-    to = F.trim(F.replace("to", F.lit("&amp;"), F.lit("&")))
+    """(a, b): each page's URL and the target, made absolute, of each of its canonical links and refresh
+    redirects. What points into the page itself is no edge."""
+    url, html, t = F.col(url_col), F.col(html_col), F.col("t")
+    some = pages.where(url.contains("://") & html.rlike("(?i)canonical|refresh"))
+    tags = some.select(url.alias("a"), F.explode(F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("t"))
+    canonical = t.rlike("(?i)^<link") & _attribute(t, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)")
+    refresh = t.rlike("(?i)^<meta") & _attribute(t, "http-equiv").rlike(r"(?i)^\s*refresh\s*$")
+    after = F.regexp_extract(_attribute(t, "content"), r"""(?is)\burl\s*=\s*["']?([^"'>\s]+)""", 1)
+    to = F.when(canonical, _attribute(t, "href")).when(refresh, after)
+    raw = tags.select("a", F.trim(F.replace(to, F.lit("&amp;"), F.lit("&"))).alias("to")).where("to != '' AND NOT startswith(to, '#')")
+    a, to = F.col("a"), F.col("to")
+    part = lambda pattern: F.regexp_extract(a, f"(?s)^({pattern})", 1)
+    folder = part(r".*?://[^/?#]*(?:/[^?#]*/|/)?")
     target = (
-        F.when(to.contains("://"), to)
-        .when(to.startswith("//"), F.concat("scheme", to))
-        .when(to.startswith("/"), F.concat("root", to))
-        .otherwise(F.concat(F.when(F.col("folder").endswith("/"), F.col("folder")).otherwise(F.concat("folder", F.lit("/"))), to))
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.startswith("//"), F.concat(part(".*?:"), to))
+        .when(to.startswith("/"), F.concat(part(".*?://[^/?#]*"), to))
+        .when(to.startswith("?"), F.concat(part("[^?#]*"), to))
+        .otherwise(F.concat(folder, F.when(folder.endswith("/"), "").otherwise("/"), to))
     )
-    return raw.where(to != "").select(node_of(F.col("a")).alias("a"), node_of(target).alias("b"))
+    return raw.select(node_of(a).alias("a"), node_of(target).alias("b"))
 
 
 def node_of(url: Column) -> Column:
-    """The URL without its fragment."""
-    return F.substring_index(url, "#", 1)
+    """The URL without its fragment, scheme and host in lower case."""
+    bare = F.substring_index(url, "#", 1)
+    head = F.regexp_extract(bare, r"(?s)^(.*?://[^/?]*)", 1)
+    return F.concat(_lower(head), F.substring(bare, F.length(head) + 1, F.length(bare)))
 
 
 def judge(
@@ -101,18 +109,21 @@ def judge(
     if edges is None:
         carried = base.withColumn("blocked", F.lit(False))
     else:
-        members = stage(connected_components(stage(edges, "aliases")), "members")
-        if members.isEmpty():
-            carried = base.withColumn("blocked", F.lit(False))
-        else:
+        with scratch(pages.sparkSession) as keep:
+            members = stage(connected_components(stage(edges, "aliases")), "members")
             verdict = rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"]
             bad = (
                 members.groupBy("component")
                 .agg(F.max(verdict == "block").alias("block"), F.max(verdict == "allow").alias("allow"))
                 .where(F.col("block") & ~F.coalesce("allow", F.lit(False)))
             )
-            bad = members.join(bad, "component").select("node", F.lit(True).alias("bad"))
-            carried = base.join(bad, node_of(F.col("url")) == F.col("node"), "left").withColumn("blocked", F.coalesce("bad", F.lit(False)))
+            bad = stage(bad.select("component"), "components")
+            bad = keep(stage(members.join(bad, "component").select("node", F.lit(True).alias("bad")), "blocked"))
+        if bad.isEmpty():
+            carried = base.withColumn("blocked", F.lit(False))
+        else:
+            # only pages with a blocked alias are shuffled, and of those no more than share its URL
+            carried = attach(base.withColumn("node", node_of(F.col("url"))), bad, "node").withColumn("blocked", F.coalesce("bad", F.lit(False)))
     own = F.col("hit.verdict")
     return carried.select(
         "id",
