@@ -142,6 +142,24 @@ def test_urls_from_html(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_urls_match_sql(spark, tmp_path):
+    """Relative targets, hosts in mixed case, several links a page and a hot component."""
+    rng = random.Random(3)
+    hosts = ["A.io", "a.io", "b.IO", "x.net", "Deep.Example.NET", "c.org", "d.example.com"]
+    paths = ["", "/", "/p/q", "/en/a", "/de/b", "/fr/c", "/p/?x=1", "/p#top"]
+    to = ["../x", "/hub", "other?y=2", "?z=3", "#here", "//A.io/hub", "HTTP://B.io/p/q", "http://x.NET/", "http://c.org/fr/c", "http://a.IO/p/q#s", "a&amp;b"]
+    link = lambda x: rng.choice([f'<link rel="canonical" href="{x}">', f"<LINK href='{x}' rel='alternate canonical'/>", f"<link rel=canonical href={x}>", f'<meta http-equiv="Refresh" content="0; URL={x}">', f'<link rel="icon" href="{x}">'])
+    rows = [(i, f"http://{rng.choice(hosts)}{rng.choice(paths)}", "<p>" + "".join(link(rng.choice(to)) for _ in range(rng.randrange(3))) + "</p>") for i in range(60)]
+    rows += [(1000 + i, f"http://hot.io/{i}", '<link rel="canonical" href="/hub">') for i in range(300)] + [(2000, "http://hot.io/hub", '<link rel="canonical" href="http://only.NET/"/>')]
+    rows += [(3000, None, "<link rel=canonical href=/x>"), (3001, "no scheme", "canonical"), (3002, "http://a.io/p/q", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got, want = queries.op7(spark, str(tmp_path)).toPandas(), con.execute(queries.ORACLE["op7_url_filter"]).df()
+    assert plain(got) == plain(want)
+    assert got.propagated.sum() > 290 and set(got.verdict[got.page_id.between(1000, 1299)]) == {"block"}
+
+
 # ---------------------------------------------------------------- registered queries and pipeline
 
 
@@ -171,6 +189,16 @@ def test_held_out_languages(spark, sf):
     assert right > 0.9 * n
 
 
+def test_many_languages_have_a_defined_model(spark):
+    rows = [(i, f"text of tongue {i % 40} here", f"l{i % 40:02}") for i in range(200)] + [(900 + i, f"more words {i}", "l39") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, sample=8)
+    assert model.langs == ["l00", "l01", "l02", "l03", "l04", "l05", "l06", "l39"]
+    assert {r.lang_pred for r in langid.predict(docs, model).collect()} <= set(model.langs)
+    alike = spark.createDataFrame([(None, "same text", "en")] * 500 + [(1, "other text", "de")], "doc_id long, text string, lang string")
+    assert langid.learn(alike, sample=10).langs == ["de", "en"]
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     import corpus_pipeline as p
 

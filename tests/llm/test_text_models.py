@@ -1,8 +1,11 @@
 """Language ID, personal data, tokens, pieces, fingerprints."""
 
 import hashlib
+import math
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -48,7 +51,7 @@ def test_pieces_match_the_library(spark, odd, none, path):
     lib = sentencepiece.SentencePieceProcessor(model_file=model)
     texts = [r[1] for r in odd_rows()] + fuzz()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    coded = pieces.encode(docs, model, check=True).cache()
+    coded = pieces.encode(docs, model, check=True, by="merges").cache()
     got = {r.id: r for r in coded.collect()}
     assert [got[i].pieces for i in range(len(texts))] == [lib.encode(t or "") for t in texts]
     assert all(r.round_trip == ((texts[i] or "").replace("▁", " ") == (texts[i] or "")) for i, r in got.items())
@@ -88,6 +91,44 @@ def test_unigram_viterbi_matches_the_library():
         assert np.frombuffer(mine.encode(t), np.int32).tolist() == lib.encode(t), t
 
 
+def best_brute(model, word):
+    """Best sum of scores over all ways to cut a word, by trying each last piece (memoised, no automaton)."""
+    number = {bytes(r).decode("utf-8", "replace").replace(" ", pieces.MARK): i for i, r in enumerate(model.raw) if i not in model.bytes.values() and len(r) and i != model.unknown}
+    best = [0.0]
+    for i in range(1, len(word) + 1):
+        ends = [best[j] + model.score[number[word[j:i]]] for j in range(max(0, i - 20), i) if word[j:i] in number]
+        if word[i - 1] not in number:
+            ends.append(best[i - 1] + model.unknown_score)
+        best.append(max(ends))
+    return best[-1]
+
+
+def test_pieces_of_best_score(spark, odd, none, path):
+    file = path("piece_bpe_32k.model")
+    model = pieces.Pieces(open(file, "rb").read())
+    texts = [r[1] or "" for r in odd_rows()][:80] + fuzz(200, 5) + ["unbelievably internationalisation", "  tabs\there ", "a" * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r for r in pieces.encode(docs, file, check=True).collect()}
+    odd_ids = set(model.bytes.values())
+    for i, text in enumerate(texts):
+        assert got[i].round_trip == (text.replace("▁", " ") == text)
+        if not text:
+            assert got[i].n_pieces == 0
+            continue
+        ids, total, k = got[i].pieces, 0.0, 0
+        while k < len(ids):
+            if ids[k] in odd_ids:  # the bytes of one character
+                n = 1
+                while (model.raw[ids[k]][0] >= 0xC0) and k + n < len(ids) and ids[k + n] in odd_ids and model.raw[ids[k + n]][0] & 0xC0 == 0x80:
+                    n += 1
+                total, k = total + model.unknown_score, k + n
+            else:
+                total, k = total + model.score[ids[k]], k + 1
+        assert math.isclose(total, best_brute(model, (" " + text).replace(" ", pieces.MARK)), rel_tol=1e-9), text
+    assert pieces.encode(odd, file).count() == odd.count() and pieces.encode(none, file).count() == 0
+    assert pieces.decode(pieces.encode(none, file), file).count() == 0
+
+
 # ---------------------------------------------------------------- language ID
 
 
@@ -164,6 +205,78 @@ def test_base_spans_match_the_patterns():
         assert pii.base_spans(t) == base_brute(t), t
 
 
+def test_tokens_around_signs_match_the_pattern():
+    rng = random.Random(13)
+    for _ in range(3000):
+        t = "".join(rng.choice([*"ab.@@ \n\x1c é", "x@y"]) for _ in range(rng.randrange(0, 30)))
+        assert pii.tokens_at(t) == [m.span() for m in re.finditer(r"[^\s@]*@[^\s@]*", t)], t
+
+
+@pytest.mark.parametrize("long", ["a" * 5_000_000, "a" * 5_000_000 + " b@", "b@ " + "1" * 2_000_000, "x@" * 500_000, "+1 " * 500_000, "1.1 " * 500_000])
+def test_long_tokens_take_linear_time(long):
+    began = time.perf_counter()
+    text = "write to a.b@c.org or " + long + " @ end"
+    pii.mentions(text, pii.base_spans(text))
+    assert time.perf_counter() - began < 15
+
+
+def exact_marginals(node, ties):
+    """By enumeration of all labellings; ties: (i, j, potential)."""
+    n = len(node)
+    grid = np.indices((pii.LABELS,) * n).reshape(n, -1)
+    w = sum(node[i][grid[i]] for i in range(n)) + sum(t[grid[i], grid[j]] for i, j, t in ties)
+    w = np.exp(w - w.max())
+    p = np.stack([np.bincount(grid[i], w, pii.LABELS) for i in range(n)])
+    return p / p.sum(1, keepdims=True)
+
+
+def test_skip_links_match_enumeration():
+    """Hubs over a chain: exact where the graph is a tree; on loops within a tolerance, and never another
+    label where enumeration is sure of one."""
+    rng = np.random.default_rng(21)
+    for _ in range(40):
+        node, chain, skip = rng.normal(size=(6, pii.LABELS)), np.zeros((pii.LABELS, pii.LABELS)), pii.sym(rng.normal(size=(pii.LABELS, pii.LABELS)))
+        skips = [(0, 5), (2, 5), (4, 5)]
+        tree = exact_marginals(node, [(i, j, skip) for i, j in skips])
+        assert np.allclose(pii.marginals(node, chain, skip, skips, chained=5), tree, atol=1e-3)
+        chain = pii.sym(rng.normal(size=(pii.LABELS, pii.LABELS))) * 0.5
+        loops = exact_marginals(node, [(i, j, skip) for i, j in skips] + [(i, i + 1, chain) for i in range(4)])
+        got = pii.marginals(node, chain, skip, skips, chained=5)
+        assert np.abs(got - loops).mean() < 0.05
+        sure = loops.max(1) > 0.9
+        assert (got.argmax(1) == loops.argmax(1))[sure].all()
+
+
+def test_added_spans_match_enumeration():
+    """settle() against enumeration of the field with all its nodes, observed hubs included."""
+    rng = np.random.default_rng(22)
+    same = 0
+    for _ in range(60):
+        keys = [str(k) for k in rng.integers(0, 3, 5)]
+        kinds = [int(k) if k < pii.OTHER else pii.OTHER for k in rng.integers(0, 9, 5)]
+        feats = [[int(f)] for f in rng.integers(0, pii.FEATURES, 5)]
+        theta, chain, skip = rng.normal(size=(pii.LABELS, pii.FEATURES)), 0.3 * pii.sym(rng.normal(size=(pii.LABELS, pii.LABELS))), 4.0 * np.eye(pii.LABELS)
+        node, ties = pii.unary(theta, feats), [(i, i + 1, chain) for i in range(4)]
+        for i, k in enumerate(kinds):
+            if k != pii.OTHER:
+                node[i] = np.where(np.arange(pii.LABELS) == k, 0.0, -60.0)
+        for at, base in pii.hubs(kinds, keys):
+            if base.any():
+                for i in at:
+                    if kinds[i] == pii.OTHER:
+                        node[i] = node[i] + base / base.sum() @ skip[: pii.OTHER]
+            else:
+                node = np.concatenate([node, np.zeros((1, pii.LABELS))])
+                ties += [(i, len(node) - 1, skip) for i in at]
+        p = exact_marginals(node, ties)[:5]
+        want = [k if k != pii.OTHER else int(p[i, :4].argmax()) if p[i, :4].max() >= 0.9 else pii.OTHER for i, k in enumerate(kinds)]
+        got = pii.settle(kinds, keys, feats, (theta, chain, skip), 0.9)
+        near = [k == pii.OTHER and abs(p[i, :4].max() - 0.9) < 0.1 for i, k in enumerate(kinds)]
+        assert all(g == w or n for g, w, n in zip(got, want, near, strict=True))
+        same += got == want
+    assert same > 50
+
+
 def spans_of(s):
     return [tuple(x.split(":")) for x in s.split(",") if x]
 
@@ -288,6 +401,61 @@ def test_edits(odd, none):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def print_brute(text):
+    """Votes of the word pairs' hashes, in plain Python over the xxhash library."""
+    import xxhash
+
+    step = lambda data, seed: xxhash.xxh64(data, seed=seed).intdigest()
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    votes = [0] * 128
+    for i, w in enumerate(words):
+        h = step(w.encode(), 42)
+        if i + 1 < len(words):
+            h = step(words[i + 1].encode(), h)
+        weight = 1 if len(w) < 4 else 2 if len(w) < 8 else 3
+        h = h & ~3 & (2**64 - 1) | weight
+        first = step(h.to_bytes(8, "little"), 42)
+        for half in (0, 1):
+            bits = xxhash.xxh64((half + 1).to_bytes(4, "little"), seed=first).intdigest()
+            for b in range(64):
+                votes[half * 64 + b] += weight if bits >> b & 1 else -weight
+    return "".join(f"{sum(1 << b for b in range(64) if votes[half * 64 + b] > 0):016x}" for half in (0, 1))
+
+
+def alike(a, b):
+    return 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 128
+
+
+@pytest.mark.parametrize("scale", [3, 2**53 // 40])
+def test_edits_match_brute_force(spark, scale):
+    """All columns, for small and for hash-like ids beyond 2**53."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 10)))
+    rows = [(i * scale + i % 7, " ".join(word() for _ in range(rng.randrange(60)))) for i in range(600)]
+    got = {r.id: r for r in simhash.edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    ordered = sorted(rows, reverse=True)
+    prints = {i: print_brute(t) for i, t in rows}
+    for k, (i, text) in enumerate(ordered):
+        j, following = ordered[(k + 1) % len(ordered)]
+        third = len(text) // 3
+        edited = text[: len(text) - third] + following[:third]
+        want = print_brute(edited)
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), prints[i], want)
+        assert r.near_edited == alike(prints[i], want) and r.near_next == alike(prints[i], prints[j])
+
+
+def test_edits_of_rows_without_id_fall_into_many_buckets(spark):
+    rows = [(None, f"text {i}") for i in range(2000)] + [(5, f"five {i}") for i in range(2000)] + [(i, f"id {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = simhash.with_next(docs).collect()
+    real = [r for r in placed if not r.ghost]
+    assert sorted((repr(r.id), r.text) for r in real) == sorted((repr(i), t) for i, t in rows)
+    assert max(Counter(r.bucket for r in placed).values()) < 600
+    # each text is the next of exactly one other
+    assert Counter(r.next_text for r in real) == Counter(t for _, t in rows)
+
+
 def test_edits_over_many_buckets(spark):
     rng = random.Random(7)
     rows = [(i * 3 - 500, "".join(rng.choice("abc é") for _ in range(rng.randrange(30)))) for i in range(700)]
