@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markfuse.llm import exact, langid, minhash, mixing, pieces
-from markfuse.llm.common import read, stage, without
+from markfuse.llm.common import read, stage
 from markfuse.llm.queries import vocabulary
 
 
@@ -36,8 +36,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five words, similarity 0.8 or more."""
-    found = minhash.near_duplicates(docs, percent=80)
-    return without(docs, stage(found.where(~F.col("kept")).select("id").distinct(), "gone"), "doc_id")
+    return minhash.drop_near_copies(docs, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
