@@ -62,13 +62,29 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, limit: int = 8 << 20):
+    """Batches for Python workers of 8 MB, or one longer row, where the session allows more: the JVM and the
+    worker both hold them, and a vectorised function gains nothing from larger ones."""
+    was = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, was) if was is not None else spark.conf.unset(BATCH_BYTES)
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here, so a lost
     executor costs no more than the running stage. Removed by unstage(), at the end of the surrounding
     scratch(), or when the driver process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/markfuse-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     _written.append((spark, path))
     inside = _scope.get()
     if inside is not None:
@@ -189,7 +205,7 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets of the rows in them) for runs of rows that hold
     about `limit` bytes, or one longer text. Null texts count as empty."""
     if isinstance(column, pa.ChunkedArray):

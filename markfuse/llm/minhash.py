@@ -40,7 +40,7 @@ from markfuse.session import ship
 from .common import LOWER, chunks, mix, scratch, sieve, stage, unstage, window_hashes, without, word_digests, words
 from .graph import connected_components
 
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 21  # rows and shingles of a block, about
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20  # rows and shingles of a block, about
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
