@@ -158,8 +158,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     placed = _placed(docs, id_col, text_col, per_bucket)
     heads = stage(placed.groupBy("bucket").agg(F.min(F.struct("nk", "tie")).alias("x")).select("bucket", "x.nk", "x.tie"), "heads")
     order = sorted(r[0] for r in heads.select("bucket").collect())  # as many as buckets
-    pair = F.split(F.explode(F.split(F.lit(",".join(f"{b}:{order[i - 1]}" for i, b in enumerate(order))), ",")), ":")
-    chain = spark.range(1).select(pair.alias("p")).where("size(p) = 2").select(F.col("p")[0].cast("long").alias("bucket"), F.col("p")[1].cast("long").alias("into"))
+    pairs = F.split(F.lit(",".join(f"{b}:{order[i - 1]}" for i, b in enumerate(order))), ",")
+    part = lambda p, i: F.split_part(p, F.lit(":"), F.lit(i)).try_cast("long")
+    chain = spark.range(1).select(F.inline(F.transform(pairs, lambda p: F.struct(part(p, 1).alias("bucket"), part(p, 2).alias("into")))))
     first = F.broadcast(heads.join(chain, "bucket"))
     ghosts = placed.join(first, ["bucket", "nk", "tie"]).dropDuplicates(["bucket"])
     ghosts = stage(ghosts.select(F.col("into").alias("bucket"), F.lit(1).alias("ghost"), "nk", "tie", "id", "text"), "ghosts")
