@@ -18,6 +18,12 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value worked out once a row, however often `use` takes it: what stands in a lambda
+    would otherwise be worked out again for each element, and array functions share nothing."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def universal(c: Column | str) -> Column:
     """CR LF and lone CR become LF."""
     return F.regexp_replace(col(c), "\r\n?", "\n")
@@ -39,14 +45,14 @@ def lines_split(c: Column | str) -> Column:
 
 def lines_read(c: Column | str) -> Column:
     """Lines as a file reader gives them, without their ends: no empty line after the last line feed."""
-    parts = lines_split(c)
-    return F.when(col(c).endswith("\n") | (col(c) == ""), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    whole = col(c).endswith("\n") | (col(c) == "")
+    return bound(lines_split(c), lambda parts: F.when(whole, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def lines_broken(c: Column | str) -> Column:
     """Lines broken at every Unicode line boundary, without an empty last one."""
     parts = F.split(col(c), r"\R|[\x1c-\x1e]", -1)
-    return F.when((F.size(parts) > 0) & (F.element_at(parts, -1) == ""), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return bound(parts, lambda x: F.when((F.size(x) > 0) & (F.element_at(x, -1) == ""), F.slice(x, F.lit(1), F.size(x) - 1)).otherwise(x))
 
 
 def tokens(c: Column | str) -> Column:
@@ -99,11 +105,11 @@ def word_distance(a: Column, b: Column) -> Column:
     """Least number of word edits between two word arrays. Each distinct word stands for one code point;
     up to 1,048,576 distinct words in a pair have one."""
     known = F.array_distinct(F.concat(a, b))
-    # one map lookup a word instead of a search through the list
-    numbered = F.map_from_arrays(known, F.sequence(F.lit(_FIRST_POINT), F.lit(_FIRST_POINT - 1) + F.size(known)))
-    as_hex = lambda ws: F.array_join(F.transform(ws, lambda w: F.lpad(F.hex(F.element_at(numbered, w)), 8, "0")), "")
-    as_text = lambda ws: F.when(F.size(ws) > 0, F.decode(F.unhex(as_hex(ws)), "UTF-32")).otherwise("")
-    return F.when(F.size(known) == 0, F.lit(0).cast("long")).otherwise(edit_distance(as_text(a), as_text(b)))
+    as_hex = lambda ws, m: F.array_join(F.transform(ws, lambda w: F.lpad(F.hex(F.element_at(m, w)), 8, "0")), "")
+    as_text = lambda ws, m: F.when(F.size(ws) > 0, F.decode(F.unhex(as_hex(ws, m)), "UTF-32")).otherwise("")
+    numbered = bound(known, lambda k: F.map_from_arrays(k, F.sequence(F.lit(_FIRST_POINT), F.lit(_FIRST_POINT - 1) + F.size(k))))
+    far = bound(F.struct(numbered.alias("m"), a.alias("a"), b.alias("b")), lambda x: edit_distance(as_text(x["a"], x["m"]), as_text(x["b"], x["m"])))
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(0).cast("long")).when(a == b, F.lit(0).cast("long")).otherwise(far)
 
 
 def error_rate(distance: Column, length: Column, other_length: Column) -> Column:

@@ -89,10 +89,12 @@ PER_PAGE = 100
 def _ocr_pages(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, page_no, words with confidences: documents cut into pages of 100 words, row by row."""
     docs = table(spark, sf, "documents").select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)).alias("w"))
-    pages = docs.where(F.size("w") > 0).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / PER_PAGE).cast("int"))).alias("p"))
-    part = F.slice("w", F.col("p") * PER_PAGE + 1, F.lit(PER_PAGE))
+    # a page's own words only, not the document's for each page
+    last = F.floor((F.size("w") - 1) / PER_PAGE).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda p: F.struct(p.alias("p"), F.slice("w", p * PER_PAGE + 1, F.lit(PER_PAGE)).alias("part")))
+    pages = docs.where(F.size("w") > 0).select("doc_id", F.inline(cut))
     conf = lambda i: ((F.col("doc_id") * 31 + (F.col("p") * PER_PAGE + i) * 17) % 100) / F.lit(100.0)
-    words = F.transform(part, lambda x, i: F.struct(x.alias("text"), conf(i).alias("confidence")))
+    words = F.transform("part", lambda x, i: F.struct(x.alias("text"), conf(i).alias("confidence")))
     return pages.select("doc_id", (F.col("p") + 1).cast("long").alias("page_no"), words.alias("words"))
 
 
@@ -105,7 +107,8 @@ def review_targets(spark: SparkSession, sf: str) -> DataFrame:
     p = _ocr_pages(spark, sf).withColumn("low", ocr.low_words("words", 0.10))
     text = F.array_join(F.transform("words", lambda w: w["text"]), " ")
     p = p.select("doc_id", "page_no", ocr.page_text(F.col("page_no"), text, F.col("low")).alias("t"))
-    found = ocr.parse_low("t")
+    p = p.withColumn("found", ocr.parse_low("t"))
+    found = F.col("found")
     shown = F.transform(found, lambda w: F.concat(w["word"], F.lit("="), F.round(w["confidence"] * 100).cast("int").cast("string")))
     return p.select("doc_id", "page_no", F.size(found).cast("long").alias("n_low"), F.array_join(shown, ";").alias("low_words"))
 
@@ -133,7 +136,10 @@ def word_error_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def score_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return score.summarise(score.score_items(_pairs(spark, sf)))
+    """Rounded: sums of floating-point rates depend on their order."""
+    s = score.summarise(score.score_items(_pairs(spark, sf)))
+    real = {f.name for f in s.schema if f.dataType.simpleString() == "double"}
+    return s.select(*(F.round(c, 6).alias(c) if c in real else c for c in s.columns))
 
 
 def id_mismatch(spark: SparkSession, sf: str) -> DataFrame:
@@ -284,6 +290,11 @@ it AS (SELECT label, doc, item_id, trim(regexp_replace(regexp_replace(regexp_rep
         '\\[[^\\]]*\\]', ' ', 'g'), '\\([^)]*[가-힣][^)]*\\)', ' ', 'g'), '\\s+', ' ', 'g')) AS body FROM raw),
 pr AS (SELECT c.doc, c.item_id, l.label, c.body AS ref, coalesce(x.body, '') AS hyp, x.body IS NULL AS missing
        FROM it c CROSS JOIN (SELECT 'a' AS label UNION ALL SELECT 'b') l LEFT JOIN it x ON x.label = l.label AND x.doc = c.doc AND x.item_id = c.item_id WHERE c.label = 'canon'),
+pw AS (SELECT doc, label, item_id, ref, hyp, regexp_extract_all(ref, '[^\\s]+') AS rw, regexp_extract_all(hyp, '[^\\s]+') AS hw FROM pr),
+-- each distinct word of a pair stands for one byte; a pair with more than 127 would end the query
+kw AS (SELECT *, list_distinct(rw || hw) AS k FROM pw),
+cw AS (SELECT *, CASE WHEN len(k) > 127 THEN error('too many words') ELSE levenshtein(array_to_string(list_transform(rw, lambda x: chr(list_position(k, x)::INT)), ''), array_to_string(list_transform(hw, lambda x: chr(list_position(k, x)::INT)), '')) END AS wd FROM kw),
+ws AS (SELECT doc, label, item_id, len(rw) AS ref_words, CASE WHEN len(k) = 0 THEN 0 ELSE wd END AS word_dist, CASE WHEN len(rw) > 0 THEN wd / len(rw) WHEN len(hw) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS wer FROM cw),
 sc AS (SELECT doc, label, item_id, length(ref) AS ref_len, levenshtein(ref, hyp) AS dist, levenshtein(lower(ref), lower(hyp)) AS dist_folded FROM pr)"""
 
 _CELLS = f"x AS ({views.sql(views.cells)})"
@@ -345,6 +356,14 @@ d AS (SELECT doc_id, (pos + 1)::INT AS page_no, pos, regexp_replace(item, '^\s+|
 SELECT doc_id, page_no, (regexp_matches(s, '[A-Za-z]') AND NOT regexp_matches(s, '[가-힣]'))::BIGINT AS n_lines,
        sha256(CASE WHEN regexp_matches(s, '[A-Za-z]') AND NOT regexp_matches(s, '[가-힣]') THEN s ELSE '' END) AS lines_sha256, CASE WHEN pos % 3 = 1 THEN 'ab(0.50), cd(0.75)' ELSE '' END AS low FROM d""",
     "char_error_items": f"WITH {_ITEMS} SELECT * FROM sc",
+    "word_error_items": f"WITH {_ITEMS} SELECT * FROM ws",
+    "score_summary": f"""WITH {_ITEMS},
+j AS (SELECT sc.*, ref_words, word_dist, wer, CASE WHEN ref_len > 0 THEN dist / ref_len END AS cer FROM sc JOIN ws USING (doc, label, item_id) WHERE ref_len > 0),
+s AS (SELECT label, sum(dist)::BIGINT AS sum_dist, sum(dist_folded)::BIGINT AS sum_dist_folded, sum(ref_len)::BIGINT AS sum_ref_len, sum(word_dist)::BIGINT AS sum_word_dist, sum(ref_words)::BIGINT AS sum_ref_words,
+             avg(cer) AS c, avg(wer) AS w, count(*) AS items FROM j GROUP BY label)
+SELECT label, sum_dist, sum_dist_folded, sum_ref_len, sum_word_dist, sum_ref_words, round(c, 6) AS mean_cer, round(w, 6) AS mean_wer, items,
+  round((1 - sum_dist / sum_ref_len) * 100, 6) AS char_acc_micro, round((1 - sum_dist_folded / sum_ref_len) * 100, 6) AS char_acc_micro_folded, round((1 - sum_word_dist / sum_ref_words) * 100, 6) AS word_acc_micro,
+  round((1 - c) * 100, 6) AS char_acc_macro, round(greatest(0, (1 - w) * 100), 6) AS word_acc_macro FROM s""",
     "char_error_summary": f"WITH {_ITEMS} SELECT label, sum(dist)::BIGINT AS sum_dist, sum(dist_folded)::BIGINT AS sum_dist_folded, sum(ref_len)::BIGINT AS sum_len, count(*) AS items FROM sc WHERE ref_len > 0 GROUP BY label",
     "id_mismatch": f"""WITH {_ITEMS}
 SELECT doc, label, item_id, 'missing' AS side FROM pr WHERE missing

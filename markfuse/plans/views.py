@@ -39,6 +39,9 @@ class Spark:
     def split(self, x: str, sep: str) -> str:
         return f"split({x}, {sep.replace('.', '[.]')}, -1)"
 
+    def name(self, x: str) -> str:
+        return f"`{x}`"
+
     text = "string"
 
 
@@ -61,30 +64,38 @@ class Duck(Spark):
     def split(self, x: str, sep: str) -> str:
         return f"string_split({x}, {sep})"
 
+    def name(self, x: str) -> str:
+        return f'"{x}"'
+
     text = "varchar"
 
 
 def md_nation(d: Spark) -> str:
-    """doc, parser, role, sec_ord, file, markdown: a document a nation, by three parsers. Some lack
-    headings, some have more, some files are missing."""
+    """doc, parser, role, sec_ord, file, markdown: a document for each nation and 2,000 customer keys, by
+    three parsers, so documents grow in number and not in size. Some lack headings, some have more, some
+    files are missing."""
     body = d.agg("CASE WHEN parser = 'gemini' AND k % 4 = 1 AND a = 3 AND b >= 10 THEN txt || chr(10) ELSE txt END", "chr(10)", "a, g, b")
+    doc = lambda nation, key: f"{nation} + 25 * {d.div(key, 2000)}"
     return f"""
+  WITH nb AS (
+    SELECT n_nationkey + 25 * coalesce(blk, 0) AS k, n_name, n_regionkey FROM [nation] LEFT JOIN (
+      SELECT c_nationkey AS nk, {d.div("c_custkey", 2000)} AS blk FROM [customer] UNION SELECT s_nationkey, {d.div("s_suppkey", 2000)} FROM [supplier]) x ON nk = n_nationkey)
   SELECT k AS doc, parser, CASE parser WHEN 'upstage' THEN 'primary' ELSE 'secondary' END AS role, CASE parser WHEN 'upstage' THEN 0 WHEN 'gemini' THEN 1 ELSE 2 END AS sec_ord,
          parser || '_' || n_name || '.md' AS file, CASE WHEN (k = 23 AND parser = 'upstage') OR (k = 24 AND parser <> 'upstage') THEN NULL ELSE {body} END AS markdown
   FROM (
-    SELECT k, n_name, 0 AS a, '' AS g, 0 AS b, '# ' || r_name AS txt FROM (SELECT n_nationkey AS k, n_name, r_name FROM [nation] JOIN [region] ON n_regionkey = r_regionkey)
-    UNION ALL SELECT n_nationkey, n_name, 0, '', 1, '' FROM [nation]
-    UNION ALL SELECT n_nationkey, n_name, 1, '', 0, '## ' || n_name FROM [nation]
-    UNION ALL SELECT n_nationkey, n_name, 1, '', 1, '' FROM [nation]
-    UNION ALL SELECT n_nationkey, n_name, 2, '', 0, '### Suppliers' FROM [nation]
-    UNION ALL SELECT n_nationkey, n_name, 2, '', 1, '| key | cents |' FROM [nation]
-    UNION ALL SELECT n_nationkey, n_name, 2, '', 2, '|---|---|' FROM [nation]
-    UNION ALL SELECT s_nationkey, n_name, 2, '', 10 + s_suppkey, '| ' || s_suppkey || ' | ' || CAST(round(s_acctbal * 100) AS BIGINT) || ' |' FROM [supplier] JOIN [nation] ON s_nationkey = n_nationkey
-    UNION ALL SELECT n_nationkey, n_name, 3, g, i, CASE i WHEN 1 THEN '### ' || g WHEN 3 THEN '| key | cents |' WHEN 4 THEN '|---|---|' ELSE '' END
-      FROM [nation] CROSS JOIN (SELECT DISTINCT c_mktsegment AS g FROM [customer]) s {d.times("i", range(5))}
-    UNION ALL SELECT c_nationkey, n_name, 3, c_mktsegment, 10 + c_custkey, '| ' || c_custkey || ' | ' || CAST(round(c_acctbal * 100) AS BIGINT) || ' |' FROM [customer] JOIN [nation] ON c_nationkey = n_nationkey
-    UNION ALL SELECT n_nationkey, n_name, 4, '', i, '#### Part ' || i FROM [nation] {d.times("i", range(1, 11))}
-    UNION ALL SELECT n_nationkey, n_name, 5, '', i, CASE i WHEN 1 THEN '### 12' ELSE '### Annex ' || n_nationkey END FROM [nation] {d.times("i", range(3))} WHERE n_nationkey % 5 = 0
+    SELECT k, n_name, 0 AS a, '' AS g, 0 AS b, '# ' || r_name AS txt FROM nb JOIN [region] ON n_regionkey = r_regionkey
+    UNION ALL SELECT k, n_name, 0, '', 1, '' FROM nb
+    UNION ALL SELECT k, n_name, 1, '', 0, '## ' || n_name FROM nb
+    UNION ALL SELECT k, n_name, 1, '', 1, '' FROM nb
+    UNION ALL SELECT k, n_name, 2, '', 0, '### Suppliers' FROM nb
+    UNION ALL SELECT k, n_name, 2, '', 1, '| key | cents |' FROM nb
+    UNION ALL SELECT k, n_name, 2, '', 2, '|---|---|' FROM nb
+    UNION ALL SELECT {doc("s_nationkey", "s_suppkey")}, n_name, 2, '', 10 + s_suppkey, '| ' || s_suppkey || ' | ' || CAST(round(s_acctbal * 100) AS BIGINT) || ' |' FROM [supplier] JOIN [nation] ON s_nationkey = n_nationkey
+    UNION ALL SELECT k, n_name, 3, g, i, CASE i WHEN 1 THEN '### ' || g WHEN 3 THEN '| key | cents |' WHEN 4 THEN '|---|---|' ELSE '' END
+      FROM nb CROSS JOIN (SELECT DISTINCT c_mktsegment AS g FROM [customer]) s {d.times("i", range(5))}
+    UNION ALL SELECT {doc("c_nationkey", "c_custkey")}, n_name, 3, c_mktsegment, 10 + c_custkey, '| ' || c_custkey || ' | ' || CAST(round(c_acctbal * 100) AS BIGINT) || ' |' FROM [customer] JOIN [nation] ON c_nationkey = n_nationkey
+    UNION ALL SELECT k, n_name, 4, '', i, '#### Part ' || i FROM nb {d.times("i", range(1, 11))}
+    UNION ALL SELECT k, n_name, 5, '', i, CASE i WHEN 1 THEN '### 12' ELSE '### Annex ' || k END FROM nb {d.times("i", range(3))} WHERE k % 5 = 0
   ) lines {d.times("parser", PARSERS)}
   WHERE NOT (parser = 'upstage' AND a = 3 AND b = 1 AND k % 7 = 0) AND NOT (a = 5 AND parser <> 'opendataloader')
   GROUP BY k, n_name, parser"""
@@ -148,7 +159,7 @@ def transcripts(d: Spark) -> str:
 def page_pairs(d: Spark) -> str:
     """doc, llm_markdown, ocr_markdown: conversations, a page a turn, and a misread version of them."""
     page = "'## p.' || (turn + 1) || chr(10) || coalesce(text, '')"
-    misread = "'## p.' || (turn + 1) || chr(10) || replace(replace(coalesce(text, ''), ' la ', ' Ia '), 'ion', 'i0n') || ' , end' || chr(10) || '저신뢰: Ia(0.41), i0n(0.77)'"
+    misread = "'## p.' || (turn + 1) || chr(10) || replace(replace(replace(coalesce(text, ''), ' la ', ' Ia '), ' la ', ' Ia '), 'ion', 'i0n') || ' , end' || chr(10) || '저신뢰: Ia(0.41), i0n(0.77)'"
     return f"SELECT conv_id AS doc, {d.agg(page, 'chr(10)', 'turn')} AS llm_markdown, {d.agg(misread, 'chr(10)', 'turn')} AS ocr_markdown FROM [conversations] GROUP BY conv_id"
 
 
