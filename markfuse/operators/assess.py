@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markfuse.functions.text import strip
@@ -23,16 +23,18 @@ def assess_pages(documents: DataFrame | None, pages: DataFrame, doc: str = "doc_
     n_chars = F.length(strip("text"))
     text = F.col("text")
     tabular = text.contains("|") | (F.length(text) - F.length(F.replace(text, F.lit("\t"), F.lit(""))) > 3)
+    pages = pages.select(doc, "page_no", n_chars.alias("__c"), tabular.alias("__t"))  # no text is shuffled
     sums = [
         F.count(F.lit(1)).alias("pages"),
-        F.sum(F.when(F.col("page_no") <= SAMPLE_PAGES, n_chars)).alias("chars"),
-        F.count_if((F.col("page_no") <= TABLE_PAGES) & tabular).alias("tabular"),
+        F.sum(F.when(F.col("page_no") <= SAMPLE_PAGES, F.col("__c"))).alias("chars"),
+        F.count_if((F.col("page_no") <= TABLE_PAGES) & F.col("__t")).alias("tabular"),
     ]
-    out = pages.groupBy(doc).agg(*sums)
     if middle:
-        sizes = pages.groupBy(doc).agg(F.count(F.lit(1)).alias("n"))
-        near = pages.join(sizes, doc).where(F.abs(F.col("page_no") - F.floor(F.col("n") / 2) - 1) <= 1)
-        out = out.join(near.groupBy(doc).agg((F.sum(n_chars) > 50 * F.count(F.lit(1))).alias("text_layer_recheck")), doc, "left")
+        # one count serves the totals and the middle: pages lie together by document already
+        pages = pages.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(doc)))
+        near = F.abs(F.col("page_no") - F.floor(F.col("__n") / 2) - 1) <= 1
+        sums.append((F.sum(F.when(near, F.col("__c"))) > 50 * F.count_if(near)).alias("text_layer_recheck"))
+    out = pages.groupBy(doc).agg(*sums)
     if documents is not None:
         out = documents.select(doc).join(out, doc, "left")
     n, chars, tab = (F.coalesce(c, F.lit(0)) for c in ("pages", "chars", "tabular"))
@@ -58,8 +60,11 @@ def recommend(assessed: DataFrame, ruleset: str = "code") -> DataFrame:
     """assessed (format, tier, has_text_layer, lang, ...) plus parsers, in order; a strategy of tier 'any'
     holds for every tier. The strategy table is a constant of this package, so it is broadcast."""
     strategy = registry.strategy(assessed.sparkSession).where(F.col("ruleset") == ruleset)
-    strategy = strategy.select(F.col("format").alias("__f"), F.col("tier").alias("__t"), F.col("parsers").alias("__p"))
-    met = assessed.join(F.broadcast(strategy), (F.col("format") == F.col("__f")) & F.col("__t").isin("any", F.col("tier")), "left")
+    by_tier = F.map_from_entries(F.collect_list(F.struct("tier", "parsers"))).alias("__s")
+    strategy = strategy.groupBy(F.col("format").alias("__f")).agg(by_tier)
+    met = assessed.join(F.broadcast(strategy), F.col("format") == F.col("__f"), "left")
+    # a row of the very tier goes before one of any
+    met = met.withColumn("__p", F.coalesce(F.col("__s")[F.col("tier")], F.col("__s")["any"]))
     base = F.coalesce("__p", F.array(F.lit("upstage")))
     pdf, none = F.col("format") == "pdf", F.array().cast("array<string>")
     scan = F.when(pdf & ~F.col("has_text_layer") & ~F.array_contains(base, "upstage"), F.array(F.lit("upstage"))).otherwise(none)
@@ -83,10 +88,12 @@ def english_ratio(text: Column) -> Column:
 
 def corrections(assessed: DataFrame) -> DataFrame:
     """assessed plus triggers: names of the correction rules that apply. Uses pages, has_text_layer,
-    table_hint, tier and, where present, english_ratio, is_exam and numeric_table (else taken as absent)."""
+    table_hint, tier and, where present, english_ratio, is_exam, numeric_table and cross_table (else taken as
+    absent). A cross table that is an image only asks for the plain recogniser first (ruleset doc_cross_table)."""
     have = lambda c, default: F.col(c) if c in assessed.columns else F.lit(default)
     rules = {
         "scan": ~F.col("has_text_layer"),
+        "cross_table_image": ~F.col("has_text_layer") & have("cross_table", False),
         "scan_numeric_table": ~F.col("has_text_layer") & (F.col("table_hint") | have("numeric_table", False)),
         "exam": have("is_exam", False),
         "english": have("english_ratio", 0.0) >= 0.5,

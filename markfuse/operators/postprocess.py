@@ -183,6 +183,28 @@ def headings_in_tables(lines: DataFrame, doc: str = "doc") -> DataFrame:
     return lines.join(marks, [doc, "pos"], "left").withColumn("in_table", F.coalesce("in_table", F.lit(False)))
 
 
+def repeated_headings(lines: DataFrame, doc: str = "doc") -> DataFrame:
+    """Lines with `repeated`: a heading that says what the heading before it said."""
+    w = Window.partitionBy(doc).orderBy("pos")
+    heads = lines.where(F.col("line").startswith("#")).withColumn("__was", F.lag("line").over(w))
+    marks = heads.where(strip("line") == strip("__was")).select(doc, "pos", F.lit(True).alias("repeated"))
+    return lines.join(marks, [doc, "pos"], "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
+
+
+def cover_headings(lines: DataFrame, doc: str = "doc") -> DataFrame:
+    """Lines with `on_cover`: a first-level heading whose text the next first-level heading repeats. The
+    chapter's cover and its body have the same heading; dropping the first merges them."""
+    w = Window.partitionBy(doc).orderBy("pos")
+    heads = lines.where(F.col("line").startswith("# ")).withColumn("__t", strip(F.regexp_replace("line", r"\A#+", "")))
+    marks = heads.withColumn("__next", F.lead("__t").over(w)).where("__t = __next").select(doc, "pos", F.lit(True).alias("on_cover"))
+    return lines.join(marks, [doc, "pos"], "left").withColumn("on_cover", F.coalesce("on_cover", F.lit(False)))
+
+
+def needs_enrichment(c: Column | str) -> Column:
+    """Whether a text holds figure captions, whose content a reader has to work into the body."""
+    return col(c).rlike(r"(?is)<figcaption>.*?</figcaption>")
+
+
 def clean(c: Column | str) -> Column:
     """All text rules, in order."""
     for rule in (strip_descriptions, strip_after_diagrams, strip_placeholders, strip_part_labels, strip_heading_icons, strip_degree_lines, strip_page_numbers, final_clean):

@@ -43,6 +43,11 @@ def parsers_for(files: DataFrame) -> DataFrame:
     return files.join(F.broadcast(registry.format_support(files.sparkSession)), "format")
 
 
+def parsers_for_extension(files: DataFrame) -> DataFrame:
+    """files (ext) by parser that takes their extension, known format or not."""
+    return files.join(F.broadcast(registry.extension_support(files.sparkSession)), "ext")
+
+
 def readable_by(files: DataFrame, parser: str) -> DataFrame:
     kinds = registry.format_support(files.sparkSession).where(F.col("parser") == parser)
     return files.join(F.broadcast(kinds.select("format")), "format", "left_semi")

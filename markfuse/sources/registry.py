@@ -38,12 +38,19 @@ STRATEGY = [
     ("doc", "pdf", "medium", ["llamaparse", "upstage"]),
     ("doc", "pdf", "large", ["llamaparse", "opendataloader"]),
     ("doc", "pdf", "xlarge", ["llamaparse", "opendataloader"]),
-    ("doc", "hwpx", "hwpx", ["hwpx_local"]),
+    ("doc", "hwpx", "any", ["hwpx_local"]),
+    ("doc", "hwp", "any", ["hwpx_local"]),
+    ("doc", "docx", "any", ["upstage", "llamaparse"]),
+    ("doc", "pptx", "any", ["upstage", "llamaparse"]),
+    ("doc", "xlsx", "any", ["upstage", "llamaparse"]),
+    ("doc", "image", "any", ["upstage", "gemini"]),
     ("doc_scan", "pdf", "small", ["gemini"]),
     ("doc_scan", "pdf", "medium", ["llamaparse", "upstage"]),
     ("doc_scan", "pdf", "large", ["llamaparse", "upstage", "mistral"]),
     ("doc_scan", "pdf", "xlarge", ["llamaparse", "upstage", "mistral"]),
     ("doc_scan_table", "pdf", "any", ["upstage", "mistral", "llamaparse"]),
+    ("doc_cross_table", "pdf", "any", ["gvision", "llamaparse", "upstage"]),
+    ("doc_cross_table", "image", "any", ["gvision", "llamaparse", "upstage"]),
     ("doc_exam", "pdf", "any", ["gemini", "upstage", "opendataloader"]),
 ]
 
@@ -55,6 +62,14 @@ FORMAT_SUPPORT = {
     "llamaparse": ["pdf", "image", "docx", "pptx", "xlsx"],
     "mistral": ["pdf", "image", "docx", "pptx"],
     "opendataloader": ["pdf"],
+    "corepin": ["pdf", "image", "hwp", "hwpx", "docx", "pptx", "xlsx"],
+    "gvision": ["pdf", "image"],
+}
+
+# Parser -> extensions it takes besides those of its formats.
+MORE_EXTENSIONS = {
+    "llamaparse": [".gif", ".bmp", ".tiff", ".tif", ".doc", ".ppt", ".xls", ".html", ".htm", ".txt", ".csv", ".rtf", ".epub"],
+    "corepin": [".hwpml", ".xls", ".heic", ".tif", ".tiff", ".webp", ".bmp", ".html", ".epub", ".rtf", ".csv", ".tsv", ".md", ".txt"],
 }
 
 # Parser -> alternatives, each the environment variables it needs together.
@@ -97,6 +112,12 @@ def format_support(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p, f) for p, fs in FORMAT_SUPPORT.items() for f in fs], "parser string, format string")
 
 
+def extension_support(spark: SparkSession) -> DataFrame:
+    """parser, ext: every extension a parser takes."""
+    own = [(p, e) for p, fs in FORMAT_SUPPORT.items() for e, f in FORMATS.items() if f in fs]
+    return spark.createDataFrame(own + [(p, e) for p, es in MORE_EXTENSIONS.items() for e in es], "parser string, ext string")
+
+
 def parser_registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PARSER_KEYS.items()), "parser string, keys array<array<string>>")
 

@@ -519,7 +519,8 @@ def test_files(spark, tmp_path):
     assert readers.discover(spark, str(tmp_path), [".pdf"]).count() == 1
     assert readers.unsupported(files).count() == 2
     assert readers.readable_by(files, "opendataloader").count() == 1
-    assert readers.parsers_for(files).count() == 5
+    assert readers.parsers_for(files).count() == 7
+    assert {r.parser for r in readers.parsers_for_extension(files.limit(0).unionByName(files)).collect()} >= {"corepin"}
     seen = files.where("ext = '.pdf'").select(F.sha2("content", 256).alias("content_sha256"))
     assert readers.reusable(files, seen).count() == 1
     sinks.write_outputs(readers.read_markdown(spark, str(tmp_path / "*.md")), str(tmp_path / "out"))
