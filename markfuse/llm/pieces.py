@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -41,43 +41,46 @@ from markfuse.session import ship
 MARK = "▁"
 REMEMBER, SHORT = 1 << 17, 48
 NORMAL, UNKNOWN, CONTROL, BYTE, USER = 1, 2, 3, 6, 4
-POINT = 21  # bits of a code point
+NOWHERE: dict[str, int] = {}  # the steps of all states that have none
 
 
 class Automaton:
-    """Aho-Corasick over strings in flat tables: `edge` has the trie's steps by state << POINT | character,
-    `out` the number of the string that ends at a state or -1, `link` the next state down the failure chain
-    where a string ends (0: none)."""
+    """Aho-Corasick over strings: `next` has the trie's steps of each state, `fail` the state of the longest
+    proper suffix, `ends` what ends at a state, longest first, along the output links: (length, score,
+    number) of each. Nothing is added once it is built."""
 
-    def __init__(self, items: list[tuple[str, int]]):
-        self.edge: dict[int, int] = {}
-        edge, out, level = self.edge, array("i", [-1]), [[0]]
+    def __init__(self, items: list[tuple[str, int]], score: Sequence[float]):
+        nexts: list[dict[str, int]] = [{}]
+        own, level = [-1], [[]]
         for text, number in items:
             at = 0
             for depth, c in enumerate(text, 1):
-                key = at << POINT | ord(c)
-                after = edge.get(key)
+                after = nexts[at].get(c)
                 if after is None:
-                    after = edge[key] = len(out)
-                    out.append(-1)
+                    if nexts[at] is NOWHERE:
+                        nexts[at] = {}
+                    after = nexts[at][c] = len(own)
+                    own.append(-1)
+                    nexts.append(NOWHERE)
                     if depth == len(level):
                         level.append([])
-                    level[depth].append(key)
+                    level[depth].append((at, c))
                 at = after
-            out[at] = number
-        self.out, self.fail, self.link = out, array("i", bytes(4 * len(out))), array("i", bytes(4 * len(out)))
-        for keys in level[2:]:  # by depth, so what a state falls back to is known
-            for key in keys:
-                at = edge[key]
-                back = self.fail[at] = self.step(self.fail[key >> POINT], key & ((1 << POINT) - 1))
-                self.link[at] = back if out[back] >= 0 else self.link[back]
-
-    def step(self, state: int, c: int) -> int:
-        edge, fail = self.edge, self.fail
-        after = edge.get(state << POINT | c)
+            own[at] = number
+        self.next, self.fail = nexts, array("i", bytes(4 * len(own)))
+        self.ends: list[tuple[tuple[int, float, int], ...]] = [()] * len(own)
+        for depth, steps in enumerate(level):  # by depth, so what a state falls back to is known
+            for before, c in steps:
+                at = nexts[before][c]
+                back = self.fail[at] = self.step(self.fail[before], c) if before else 0
+                p = own[at]
+                self.ends[at] = (((depth, score[p], p),) if p >= 0 else ()) + self.ends[back]
+
+    def step(self, state: int, c: str) -> int:
+        after = self.next[state].get(c)
         while after is None and state:
-            state = fail[state]
-            after = edge.get(state << POINT | c)
+            state = self.fail[state]
+            after = self.next[state].get(c)
         return after or 0
 
 
@@ -103,7 +106,7 @@ class Pieces(dict):
         self.raw = [bytes([int(t[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" if k == CONTROL else t.encode().replace(mark, b" ") for t, k in zip(text, kind, strict=True)]
         plain = [(t, i) for i, (t, k) in enumerate(zip(text, kind, strict=True)) if k in (NORMAL, USER)]
         self.number = dict(plain) if by == "merges" else {}
-        self.auto = Automaton(plain if by == "score" else [])
+        self.auto = Automaton(plain if by == "score" else [], self.score)
         self.unknown_score = min((self.score[i] for _, i in plain), default=0.0) - 10.0
         self.older: dict[str, bytes] = {}
         crossing = any(MARK in t.lstrip(MARK) for t, _ in plain)
@@ -130,26 +133,22 @@ class Pieces(dict):
 
     def best(self, word: str) -> list[int]:
         """Piece numbers of the path of best score, in one pass."""
-        edge, fail, out, link = self.auto.edge.get, self.auto.fail, self.auto.out, self.auto.link
-        score, length, unknown = self.score, self.length, self.unknown_score
+        nexts, fail, ends, unknown = self.auto.next, self.auto.fail, self.auto.ends, self.unknown_score
+        length = self.length
         last, best = [-1], [0.0]  # the piece that ends the best path to each position; that path's score
         state = i = 0
-        for c in map(ord, word):
-            after = edge(state << POINT | c)
+        for c in word:
+            after = nexts[state].get(c)
             while after is None and state:
                 state = fail[state]
-                after = edge(state << POINT | c)
+                after = nexts[state].get(c)
             state = after or 0
             i += 1
             top, found, n = -1e300, -1, 0
-            at = state if out[state] >= 0 else link[state]
-            while at:
-                p = out[at]
-                n = length[p]
-                total = best[i - n] + score[p]
+            for n, gain, p in ends[state]:
+                total = best[i - n] + gain
                 if total > top:
                     top, found = total, p
-                at = link[at]
             if n != 1:  # no piece of this character alone
                 total = best[-1] + unknown
                 if total > top:
