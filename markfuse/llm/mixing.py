@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import scratch, stage
 
 LEVELS, ROUNDS = 6, 5  # of bisection: midpoints of LEVELS levels in each of ROUNDS jobs
 WORD = r"[^\x20\x09-\x0D]+"
@@ -113,6 +113,11 @@ def bisect(totals: DataFrame, evenness: float = 0.5, max_repeats: float | None =
 def plan(rows: DataFrame, evenness: float = 0.5, max_repeats: float | None = 4.0, budget: int | None = None) -> DataFrame:
     """One row a source: source, t, weight, passes (whole ones) and the cut (c1, c2, c3) of the partial
     pass, after which no row is taken; c1 null: no cut. rows: what counted() gives."""
+    with scratch(rows.sparkSession) as keep:
+        return keep(stage(_plan(rows, evenness, max_repeats, budget), "cuts"))
+
+
+def _plan(rows: DataFrame, evenness: float, max_repeats: float | None, budget: int | None) -> DataFrame:
     totals = stage(rows.groupBy("source").agg(F.sum("tokens").alias("t")), "totals")
     e = bisect(totals, evenness, max_repeats, budget)
     share = F.col("t") / F.lit(float(max(e.total, 1)))
@@ -148,7 +153,7 @@ def plan(rows: DataFrame, evenness: float = 0.5, max_repeats: float | None = 4.0
     cuts = one.select("source", "c_k1").join(two.select(F.col("source").alias("s2"), "c_k2"), F.col("source").eqNullSafe(F.col("s2")), "left")
     cuts = cuts.join(three.select(F.col("source").alias("s3"), "c_k3"), F.col("source").eqNullSafe(F.col("s3")), "left")
     out = base.join(cuts.select(F.col("source").alias("s"), "c_k1", "c_k2", "c_k3"), F.col("source").eqNullSafe(F.col("s")), "left")
-    return stage(out.select("source", "t", "weight", "goal", "passes", "left", F.col("c_k1").alias("c1"), F.col("c_k2").alias("c2"), F.col("c_k3").alias("c3")), "cuts")
+    return out.select("source", "t", "weight", "goal", "passes", "left", F.col("c_k1").alias("c1"), F.col("c_k2").alias("c2"), F.col("c_k3").alias("c3"))
 
 
 def place_in_pass(passes: Column, key: Column) -> Column:
