@@ -285,7 +285,7 @@ def _judge(slim: DataFrame, percent: int, size: int, bands: int, rows: int) -> D
     # most buckets hold one representative: only the others' members are shuffled again
     spread = reps.select("rep", "n", F.explode("bands").alias("key"))
     buckets = stage(spread.groupBy("key").agg(F.min("rep").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
-    members = stage(sieve(spread, buckets.select("key"), "key", 1 << 27).join(buckets, "key"), "members")
+    members = stage(sieve(spread, buckets.select("key"), "key").join(buckets, "key"), "members")
     stars = members.where("rep != c").select(F.col("c").alias("a"), F.col("rep").alias("b"), F.col("n").alias("bn")).distinct()
     stars = stage(stars, "stars")
     looks = stage(sieve(reps, members.select("rep").distinct(), "rep").select("rep", "n", "sig"), "looks")
