@@ -47,13 +47,15 @@ def score_items(pairs: DataFrame, doc: str = "doc", with_words: bool = True) ->
     hyp = F.coalesce("hyp", F.lit(""))
     rows = pairs.where("ref IS NOT NULL").select(doc, "label", "item_id", "ref", hyp.alias("hyp"))
     n, m = F.length("ref").cast("long"), F.length("hyp").cast("long")
-    d = edit_distance("ref", "hyp")
-    out = [n.alias("ref_len"), d.alias("dist"), edit_distance(F.lower("ref"), F.lower("hyp")).alias("dist_folded"), error_rate(d, n, m).alias("cer")]
+    # each distance in a step of its own: the rates take it again
+    rows = rows.withColumns({"dist": F.when(F.col("ref") == F.col("hyp"), F.lit(0).cast("long")).otherwise(edit_distance("ref", "hyp")), "__r": F.lower("ref"), "__h": F.lower("hyp")})
+    same = (F.col("__r") == F.col("ref")) & (F.col("__h") == F.col("hyp"))
+    folded = F.when(same, F.col("dist")).otherwise(edit_distance("__r", "__h"))
+    out = [n.alias("ref_len"), "dist", folded.alias("dist_folded"), error_rate(F.col("dist"), n, m).alias("cer")]
     if with_words:
-        rows = rows.withColumns({"rw": words("ref"), "hw": words("hyp")})
+        rows = rows.withColumns({"rw": words("ref"), "hw": words("hyp")}).withColumn("word_dist", word_distance(F.col("rw"), F.col("hw")))
         k = F.size("rw").cast("long")
-        wd = word_distance(F.col("rw"), F.col("hw"))
-        out += [k.alias("ref_words"), wd.alias("word_dist"), error_rate(wd, k, F.size("hw")).alias("wer")]
+        out += [k.alias("ref_words"), "word_dist", error_rate(F.col("word_dist"), k, F.size("hw")).alias("wer")]
     return rows.select(doc, "label", "item_id", *out)
 
 
