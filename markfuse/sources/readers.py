@@ -53,6 +53,13 @@ def readable_by(files: DataFrame, parser: str) -> DataFrame:
     return files.join(F.broadcast(kinds.select("format")), "format", "left_semi")
 
 
+def read_alt_maps(spark: SparkSession, path: str, doc_type: str = "string", doc: str = "doc") -> DataFrame:
+    """doc, placeholder, page, image_index, en_alt, ko_alt of saved maps, for alt.inject() without a service."""
+    entry = "struct<page:int,image_index:int,en_alt:string,ko_alt:string>"
+    rows = spark.read.schema(f"`{doc}` {doc_type}, map map<string,{entry}>").json(path)
+    return rows.select(doc, F.explode("map").alias("placeholder", "e")).select(doc, "placeholder", "e.*")
+
+
 def reusable(files: DataFrame, done: DataFrame) -> DataFrame:
     """Files whose content some earlier run has parsed: done has content_sha256."""
     return files.withColumn("content_sha256", F.sha2("content", 256)).join(done.select("content_sha256"), "content_sha256", "left_semi")

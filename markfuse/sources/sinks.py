@@ -6,9 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def write_outputs(outputs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet by parser; one row a document."""
-    outputs.write.mode(mode).partitionBy("parser").parquet(path)
+def write_outputs(outputs: DataFrame, path: str, mode: str = "overwrite", stage: str | None = None) -> None:
+    """Parquet by parser; one row a document. With a stage (parsed, fused, ...), by stage first: intermediate
+    results lie beside the final ones and are never moved."""
+    rows = outputs if stage is None else outputs.withColumn("stage", F.lit(stage))
+    rows.write.mode(mode).option("partitionOverwriteMode", "dynamic" if stage else "static").partitionBy(*(["stage"] if stage else []), "parser").parquet(path)
+
+
+def write_alt_maps(alt_map: DataFrame, path: str, doc: str = "doc", mode: str = "overwrite") -> None:
+    """One JSON object a document, placeholder -> page, image_index, en_alt, ko_alt, as lines of doc and map."""
+    entry = F.struct("placeholder", F.struct("page", "image_index", "en_alt", "ko_alt"))
+    alt_map.groupBy(doc).agg(F.map_from_entries(F.collect_list(entry)).alias("map")).write.mode(mode).json(path)
 
 
 def write_texts(rows: DataFrame, path: str, text: str = "content", by: str = "file_name", mode: str = "overwrite") -> None:

@@ -508,6 +508,51 @@ def test_adapter_keeps_errors_in_their_row(spark):
     assert adapters.fallback(adapters.run_parser(files, "p", call, {"end": "!"}), adapters.run_parser(files, "q", lambda p, c, o: {"markdown": "q"})).orderBy("path").collect()[0].parser == "q"
 
 
+def test_adapter_wrappers(spark):
+    import time
+
+    def slow(path, content, options):
+        time.sleep(30)
+        return {"markdown": "late"}
+
+    def bad(path, content, options):
+        raise ValueError("no")
+
+    good = lambda path, content, options: {"markdown": "m", "finish_reason": "MAX_TOKENS"}
+    files = spark.createDataFrame([("a", b"x")], "path string, content binary")
+    r = adapters.run_parser(files, "p", slow, attempts=1, seconds=0.2).first()
+    assert r.error.startswith("TimeoutError") and r.markdown is None
+    assert adapters.seconds_for("xlarge") == 600 and adapters.seconds_for("small") == 300
+    assert adapters.first_of(bad, good)("a", b"", {})["markdown"] == "m"
+    with pytest.raises(ValueError):
+        adapters.first_of(good, bad)("a", b"", {}) and adapters.first_of(bad, bad)("a", b"", {})
+    answers = iter([None, None, {"markdown": "done"}])
+    assert adapters.polled(lambda p, c, o: 7, lambda ticket: next(answers), every=0.01)("a", b"", {}) == {"markdown": "done"}
+    with pytest.raises(TimeoutError):
+        adapters.polled(lambda p, c, o: 7, lambda ticket: None, every=0.05, seconds=0.1)("a", b"", {})
+    texts = iter([{"markdown": None}, {"markdown": "b"}])
+    assert adapters.with_text(lambda p, c, o: next(texts))("a", b"", {})["markdown"] == "b"
+    assert adapters.with_text(good)("a", b"", {})["warnings"]
+    with pytest.raises(ValueError, match="STOP"):
+        adapters.with_text(lambda p, c, o: {"markdown": None, "finish_reason": "STOP"})("a", b"", {})
+    d = spark.createDataFrame([(400, '{"error": {"code": "E1", "message": "bad", "request_id": "r"}}'), (500, "oops"), (200, "{}")], "s int, b string")
+    assert [r[0] for r in d.select(adapters.answer_error("s", "b")).collect()] == ["E1 - bad (request_id: r)", "500 - oops", None]
+    assert many(spark, adapters.answer_notes, ['{"warnings": ["w"], "needed_ocr": true, "ocr_pages_used": 3}', "{}"]) == [["w", "recognised pages: 3"], []]
+
+
+def test_saved_alt_maps_and_stages(spark, tmp_path):
+    m = spark.createDataFrame([("d", "![a](page_1_image_1_v2.jpg)", 1, 1, "a", "그림")], "doc string, placeholder string, page int, image_index int, en_alt string, ko_alt string")
+    sinks.write_alt_maps(m, str(tmp_path / "maps"))
+    back = readers.read_alt_maps(spark, str(tmp_path / "maps"))
+    assert back.collect() == m.collect()
+    docs = spark.createDataFrame([("d", "x ![a](page_1_image_1_v2.jpg)")], "doc string, markdown string")
+    assert alt.inject(docs, back).first().replaced == 1
+    out = spark.createDataFrame([("d", "upstage", "m")], "doc string, parser string, markdown string")
+    for stage in ("parsed", "fused", "parsed"):
+        sinks.write_outputs(out, str(tmp_path / "out"), stage=stage)
+    assert sorted(r.stage for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["fused", "parsed"]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a_upstage.md").write_text("# A\r\nx")
     (tmp_path / "b.PDF").write_bytes(b"1234")
