@@ -39,10 +39,22 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_BYTES, SPARKS_OWN, SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of 8 MB, or one longer row, for Python workers of this session, unless it was given a size of
+    its own: the JVM and the worker both hold them, and a vectorised function gains nothing from more."""
+    now = spark.conf.get(BATCH_BYTES, None)
+    if now is not None and now.rstrip("b") == str(SPARKS_OWN):
+        spark.conf.set(BATCH_BYTES, SMALL)
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package's source to the executors' Python workers, once a session: functions that run
     there are pickled by reference, and a cluster's nodes need not have the package installed. The
     archive lies in spark.checkpoint.dir; only where that is unset, as in tests, in a local folder."""
+    small_batches(spark)
     sc = spark.sparkContext
     if getattr(sc, "_markfuse_shipped", False):
         return
