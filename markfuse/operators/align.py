@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markfuse.functions.text import SPACE, col, letters_key, token_key, tokens
-from markfuse.operators.ocr import body_of, parse_low
+from markfuse.operators.ocr import body_of, draft_pages, parse_low
 from markfuse.session import ship
 
 PAGE = rf"^##[{SPACE}]*p\.?[{SPACE}]*0*(\d+)"
@@ -94,3 +94,14 @@ def target_totals(found: DataFrame, doc: str = "doc") -> DataFrame:
     rows = found.select(doc, "page", F.size("divergences").alias("d"), F.size("low").alias("l"))
     out = rows.rollup(doc, "page").agg(F.sum("d").alias("divergences"), F.sum("l").alias("low"))
     return out.where(F.col(doc).isNotNull())
+
+
+def cascade(docs: DataFrame, doc: str = "doc", llm: str = "llm_markdown", ocr: str = "ocr_markdown") -> DataFrame:
+    """doc, page, draft (literal lines of the recogniser), divergences, low, look: the work list of the
+    handwriting cascade. The fluent and the literal text of a page are aligned; pages where they diverge
+    or where words are uncertain are to be looked at. Reading those pages again is an outside service's
+    work; `score` judges its answers."""
+    pages = targets(docs.select(doc, F.col(llm).alias("llm_markdown"), F.col(ocr).alias("ocr_markdown")), doc)
+    drafts = draft_pages(docs, doc, ocr).select(doc, F.concat(F.lit("p."), F.col("page_no").cast("string")).alias("page"), F.col("lines").alias("draft"))
+    look = (F.size("divergences") > 0) | (F.size("low") > 0)
+    return pages.join(drafts, [doc, "page"], "left").select(doc, "page", F.coalesce("draft", F.array().cast("array<string>")).alias("draft"), "divergences", "low", look.alias("look"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markfuse.functions.text import SPACE, strip
+from markfuse.functions.text import SPACE, bound, strip, tokens
 from markfuse.operators.normalize import to_lines
 from markfuse.operators.profile import line_count, table_count
 from markfuse.sources.registry import file_token
@@ -86,3 +86,27 @@ def recall(source: Column, output: Column) -> tuple[Column, Column]:
     chars = F.array_distinct(F.regexp_extract_all(a, F.lit("(?s)(.)"), F.lit(1)))
     pair = F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: F.aggregate(chars, F.lit(0).cast("long"), lambda n, c: n + F.least(times(p["a"], c), times(p["b"], c)))), F.lit(0))
     return pair, F.length(a).cast("long")
+
+
+def word_recall(pairs: DataFrame, doc: str = "doc", source: str = "source", output: str = "markdown") -> DataFrame:
+    """doc, matched, total: words of the source, as multisets, that the output has too. Null texts count as
+    empty and a source without words gives zeros; rows that share a doc count as one. Words are counted in
+    groups, partly before the shuffle, so the time is linear in a text's length."""
+    side = lambda c, n: F.transform(tokens(F.coalesce(F.col(c), F.lit(""))), lambda w: F.struct(w.alias("w"), F.lit(n).alias("side")))
+    own_row = F.array(F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("side")))
+    rows = pairs.select(F.col(doc).alias("__d"), F.explode(F.concat(own_row, side(source, 1), side(output, 2))).alias("x")).select("__d", "x.w", "x.side")
+    counts = rows.groupBy("__d", "w").agg(F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == 2).alias("b"))
+    return counts.groupBy(F.col("__d").alias(doc)).agg(F.sum(F.least("a", "b")).alias("matched"), F.sum("a").alias("total"))
+
+
+# The circled numbers that mark the choices of a question.
+MARKERS = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
+
+
+def lost_markers(source: Column, output: Column, markers: str = MARKERS) -> Column:
+    """Choice markers that the output has less often than the source, in the order of `markers`; none lost:
+    an empty array. Null texts count as empty."""
+    only = lambda t: F.regexp_replace(F.coalesce(t, F.lit("")), f"[^{markers}]", "")
+    times = lambda t, m: F.length(t) - F.length(F.replace(t, m, F.lit("")))
+    every = F.array(*(F.lit(m) for m in markers))
+    return bound(F.struct(only(source).alias("a"), only(output).alias("b")), lambda x: F.filter(every, lambda m: times(x["a"], m) > times(x["b"], m)))

@@ -191,6 +191,20 @@ def repeated_headings(lines: DataFrame, doc: str = "doc") -> DataFrame:
     return lines.join(marks, [doc, "pos"], "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
 
 
+# How the lines of a printed page's footer block begin (printed by, signed by, certified copy).
+FOOTERS = ["출력자", "전자서명자", "원본대조필"]
+
+
+def repeated_footers(lines: DataFrame, labels: list[str] = FOOTERS, doc: str = "doc") -> DataFrame:
+    """Lines with `footer`: lines of a footer block, whatever stands behind the label, after the first line
+    with that label in the document."""
+    label = F.regexp_extract("line", rf"(?U)\A[{SPACE}]*({'|'.join(labels)})", 1)
+    rows = lines.select(doc, "pos", label.alias("__label")).where("__label <> ''")
+    nth = F.row_number().over(Window.partitionBy(doc, "__label").orderBy("pos"))
+    marks = rows.withColumn("__n", nth).where("__n > 1").select(doc, "pos", F.lit(True).alias("footer"))
+    return lines.join(marks, [doc, "pos"], "left").withColumn("footer", F.coalesce("footer", F.lit(False)))
+
+
 def cover_headings(lines: DataFrame, doc: str = "doc") -> DataFrame:
     """Lines with `on_cover`: a first-level heading whose text the next first-level heading repeats. The
     chapter's cover and its body have the same heading; dropping the first merges them."""

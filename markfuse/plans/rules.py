@@ -251,11 +251,42 @@ def token_keys(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.sha2(F.array_join(words, " "), 256).alias("keys_sha256"), F.sha2(tx.letters_key(tx.tokens(t)), 256).alias("letters_sha256"))
 
 
+def cascade_pages(spark: SparkSession, sf: str) -> DataFrame:
+    c = align.cascade(views.of(spark, sf, views.page_pairs))
+    count = lambda name: F.size(name).cast("long")
+    return c.select(F.col("doc").alias("doc_id"), "page", count("draft").alias("n_draft"), count("divergences").alias("divergences"), count("low").alias("low"), "look")
+
+
+def footer_lines(d: views.Spark) -> str:
+    """doc, pos, line: orders as lines, some of them of footer blocks with changing values."""
+    cases = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(["출력자: ", " 전자서명자 ", "원본대조필 ", "본문 출력자 "]))
+    return f"SELECT {d.div('o_orderkey', 40)} AS doc, o_orderkey % 40 AS pos, CASE o_custkey % 6 {cases} ELSE 'x' END || o_orderkey AS line FROM [orders]"
+
+
+def footer_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return postprocess.repeated_footers(views.of(spark, sf, footer_lines)).where("footer").select("doc", "pos", "line")
+
+
+def word_recall(spark: SparkSession, sf: str) -> DataFrame:
+    return fuse.word_recall(views.of(spark, sf, views.md_page), "page_id")
+
+
+def questions(d: views.Spark) -> str:
+    """k, source, markdown: a part as a question with five choices; parsers lose or repeat some markers."""
+    return """SELECT k, n || ' ① a ② b ③ c ④ d ⑤ ①' AS source,
+  n || CASE k % 4 WHEN 0 THEN ' ① a ② b ③ c ④ d ⑤ ①' WHEN 1 THEN ' ① a ② b (3) c ④ d ⑤' WHEN 2 THEN ' ① ① ② ② ③ ④ ⑥' ELSE ' a' END AS markdown FROM (SELECT p_partkey AS k, p_name AS n FROM [part]) p"""
+
+
+def choice_markers(spark: SparkSession, sf: str) -> DataFrame:
+    q = views.of(spark, sf, questions)
+    return q.select("k", F.array_join(fuse.lost_markers(F.col("source"), F.col("markdown")), "").alias("lost"))
+
+
 NAMES = (
     placeholder_rules, description_blocks, part_labels, diagram_placeholders, final_clean, flat_tables, embedded_contents, table_headings, broken_titles, split_headings,
     chapter_numbers, first_running_lines, repeated_headings, cover_headings, caption_candidates, file_tiers, file_names, parser_choices, extension_choices, recommend_doc,
     parser_readiness, hangul_share, lost_numbers, table_skeletons, correction_triggers, english_share, more_parsers, alt_answers_joined, roster_check, merged_cells, parser_runs, run_report,
-    best_label, page_targets, token_keys,
+    best_label, page_targets, token_keys, cascade_pages, footer_repeats, word_recall, choice_markers,
 )
 QUERIES: dict = {f.__name__: f for f in NAMES}
 
@@ -369,6 +400,19 @@ SELECT doc_id, len(w) AS n_tokens, sha256(array_to_string(list_transform(w, lamb
        sha256(regexp_replace(lower(regexp_replace(array_to_string(w, ''), '<[^>]*>', '', 'g')), '[^0-9a-z]', '', 'g')) AS letters_sha256 FROM w""",
     "page_targets": f"""WITH {_ALIGNED}, p AS (SELECT doc_id, 'p.' || (turn + 1) AS page, (replaced + deleted + inserted)::BIGINT AS divergences, 2::BIGINT AS low FROM r)
 SELECT doc_id, page, sum(divergences)::BIGINT AS divergences, sum(low)::BIGINT AS low FROM p GROUP BY doc_id, page UNION ALL SELECT doc_id, 'total', sum(divergences)::BIGINT, sum(low)::BIGINT FROM p GROUP BY doc_id""",
+    "cascade_pages": f"""WITH {_ALIGNED}, l AS (SELECT doc_id, turn, unnest(string_split(b || ' , end', chr(10))) AS s FROM c),
+n AS (SELECT doc_id, turn, sum((regexp_matches(s, '[A-Za-z]') AND NOT regexp_matches(s, '[가-힣]'))::INT)::BIGINT AS n_draft FROM l GROUP BY doc_id, turn)
+SELECT doc_id, 'p.' || (turn + 1) AS page, n_draft, (replaced + deleted + inserted)::BIGINT AS divergences, 2::BIGINT AS low, true AS look FROM r JOIN n USING (doc_id, turn)""",
+    "footer_repeats": f"""WITH l AS ({views.sql(footer_lines)}), m AS (SELECT *, regexp_extract(line, '^\\s*(출력자|전자서명자|원본대조필)', 1) AS label FROM l)
+SELECT doc, pos, line FROM (SELECT *, row_number() OVER (PARTITION BY doc, label ORDER BY pos) AS i FROM m WHERE label <> '') WHERE i > 1""",
+    "word_recall": f"""WITH p AS ({views.sql(views.md_page)}),
+a AS (SELECT page_id, w, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(source, '[^\\s\x0B\x1c-\x1f]+')) AS w FROM p) GROUP BY page_id, w),
+b AS (SELECT page_id, w, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(markdown, '[^\\s\x0B\x1c-\x1f]+')) AS w FROM p) GROUP BY page_id, w),
+s AS (SELECT page_id, sum(least(a.n, coalesce(b.n, 0)))::BIGINT AS matched, sum(a.n)::BIGINT AS total FROM a LEFT JOIN b USING (page_id, w) GROUP BY page_id)
+SELECT page_id, coalesce(matched, 0) AS matched, coalesce(total, 0) AS total FROM p LEFT JOIN s USING (page_id)""",
+    "choice_markers": f"""WITH q AS ({views.sql(questions)}),
+t AS (SELECT k, m, length(source) - length(replace(source, m, '')) AS a, length(markdown) - length(replace(markdown, m, '')) AS b FROM q CROSS JOIN (SELECT unnest(['①', '②', '③', '④', '⑤']) AS m))
+SELECT k, coalesce(string_agg(CASE WHEN a > b THEN m END, '' ORDER BY m), '') AS lost FROM t GROUP BY k""",
     "token_divergence": f"""WITH {_ALIGNED}, t AS (SELECT doc_id, unnest(['replace', 'delete', 'insert']) AS tag, unnest([replaced, deleted, inserted]) AS n FROM r)
 SELECT doc_id, tag, sum(n)::BIGINT AS n FROM t GROUP BY doc_id, tag HAVING sum(n) > 0""",
 }

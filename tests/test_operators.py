@@ -468,6 +468,7 @@ def test_line_rules(spark):
     d = spark.createDataFrame([(1, i, x) for i, x in enumerate(["# Ⅰ", "# Ⅰ. A", "P·A·R·T 1", "# Ⅳ B", "P·A·R·T **Ⅴ**", "# x"])], "doc int, pos int, line string")
     assert [(r.ord, r.numeral, r.part, r.same) for r in p.chapter_check(d).orderBy("ord").collect()] == [(1, 1, 1, True), (2, 4, 5, False)]
     assert flagged(spark, p.headings_in_tables, "in_table", ["# T", "| a |", "", "# T", "", "| b |"]) == ["# T"]
+    assert flagged(spark, p.repeated_footers, "footer", ["출력자: a 1", "전자서명자 b", "x 출력자", " 출력자: a 2", "전자서명자 c"]) == [" 출력자: a 2", "전자서명자 c"]
     assert flagged(spark, p.drop_running_lines, "true", ["h", "a", "h", "b", "h"]) == ["h", "a", "b"]
 
 
@@ -479,6 +480,8 @@ def test_fusion(spark):
     assert f.select(fuse.fused_name(F.lit("d"), F.col("contributors"))).first()[0] == "d_fused_v3_llamaparse+upstage+hwpxlocal.md"
     m, n = fuse.recall(F.lit("aab 😀"), F.lit("ab😀😀"))
     assert (one(spark, m), one(spark, n)) == (3, 4)
+    assert one(spark, fuse.lost_markers(F.lit("① a ② b ②"), F.lit("② ①"))) == ["②"]
+    assert one(spark, fuse.lost_markers(F.lit(None).cast("string"), F.lit("①"))) == []
     runs = spark.createDataFrame([(1, "a", True), (1, "b", False)], "doc int, parser string, ok boolean")
     assert tuple(fuse.run_status(runs).first()) == (1, 1, 1, True, True)
     a = spark.createDataFrame([(1, 5, "small"), (2, 7, "small")], "doc int, pages int, tier string")
@@ -486,6 +489,19 @@ def test_fusion(spark):
     assert got == {1: (["a"], ["b"], 8), 2: (None, None, None)}
 
 
+def test_word_recall(spark):
+    d = spark.createDataFrame([(1, "a b a c", "a\u3000b x"), (2, None, "a"), (3, "a", None), (None, " ", "")], "doc int, source string, markdown string")
+    assert {r.doc: (r.matched, r.total) for r in fuse.word_recall(d).collect()} == {1: (2, 4), 2: (0, 0), 3: (0, 1), None: (0, 0)}
+    assert fuse.word_recall(d.limit(0)).count() == 0
+
+
+def test_cascade(spark):
+    d = spark.createDataFrame([(1, "## p.1\nMr. Han\n## p.2\nsame", "## p.1\nDear me\n이름\n저신뢰: me(0.16)\n## p.2\nsame")], "doc int, llm_markdown string, ocr_markdown string")
+    one, two = align.cascade(d).orderBy("page").collect()
+    assert (one.draft, [x.word for x in one.low], one.look) == (["Dear me"], ["me"], True)
+    assert one.divergences and two.page == "p.2" and two.draft == ["same"]
+
+
 # ---------------------------------------------------------------- sources, sinks, streaming
 
 
