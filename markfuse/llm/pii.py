@@ -324,7 +324,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000, sure: float = 0.9, longest: int = 1000) -> DataFrame:
     """Per row: id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all spans, as
-    kind:start:end, code points), n_added. Training takes `sample` texts of at most `longest` mentions, so
+    kind:start:end, code points), n_added, n_spans (base and added). Training takes `sample` texts of at most `longest` mentions, so
     that it fits the driver; longer texts are judged by what the others teach."""
     spark = docs.sparkSession
     ship(spark)
@@ -351,4 +351,4 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(spans, pa.string()), pa.array(added, pa.int64())], ["id", "n", "base", "spans", "n_added"])
 
     out = scanned.mapInArrow(infer, f"id {kind}, n array<bigint>, base string, spans string, n_added bigint")
-    return out.select("id", *(F.col("n")[i].alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+    return out.select("id", *(F.col("n")[i].alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2("base", 256).alias("base_sha256"), "spans", "n_added", (F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x) + F.col("n_added")).alias("n_spans"))

@@ -330,6 +330,7 @@ def test_many_bare_repeats_are_found(spark):
         rows.append((i, f"call +49 {n} now. " + "".join(f"again {n[:3]}-{n[3:]} there. order {rng.randrange(10**7, 10**8)} " for _ in range(bare))))
     got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r.n_added == (5, 20, 100)[r.id % 3] for r in got)
+    assert all(r.n_spans == len(spans_of(r.spans)) for r in got)
     assert all(rows[r.id][1][:int(a)].endswith(("again ", "call ")) for r in got for _, a, _ in spans_of(r.spans))
 
 
