@@ -70,6 +70,11 @@ def token_key(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(strip_markup(c)), r"(?U)\A\W+|\W+\z", "")
 
 
+def anchor_key(c: Column | str) -> Column:
+    """token_key, but a token of punctuation only stays as it is: different marks are not the same word."""
+    return F.regexp_replace(F.lower(strip_markup(c)), r"(?U)\A\W+(?=\w)|(?<=\w)\W+\z", "")
+
+
 def letters_key(segment: Column | str) -> Column:
     """The bare letter sequence of an array of tokens; only ASCII letters, digits and Hangul count."""
     return F.regexp_replace(F.lower(strip_markup(F.array_join(col(segment), ""))), f"[^0-9a-z{HANGUL}]", "")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markfuse.functions.text import SPACE, col, letters_key, token_key, tokens
+from markfuse.functions.text import SPACE, anchor_key, col, letters_key, token_key, tokens
 from markfuse.operators.ocr import body_of, draft_pages, parse_low
 from markfuse.session import ship
 
@@ -53,10 +53,11 @@ def _opcodes():
 
 def divergences(pairs: DataFrame, llm: str = "llm", ocr: str = "ocr", context: int = 3) -> DataFrame:
     """pairs plus divergences: array<struct<tag, llm array, ocr array, context>>. Differences of
-    punctuation only, and of spacing only, are left out."""
+    punctuation only, and of spacing only, are left out. Equal marks may be aligned, different ones not: a
+    header's `##` that meets a comma would tear apart the words around them."""
     ship(pairs.sparkSession)
     toks = pairs.withColumns({"__a": tokens(llm), "__b": tokens(ocr)})
-    keys = toks.withColumns({"__ka": F.transform("__a", token_key), "__kb": F.transform("__b", token_key)})
+    keys = toks.withColumns({"__ka": F.transform("__a", anchor_key), "__kb": F.transform("__b", anchor_key)})
     differ = F.col("__ka") != F.col("__kb")
     coded = keys.withColumn("__ops", _opcodes()(F.when(differ, F.col("__ka")), F.when(differ, F.col("__kb"))))
     part = lambda a, i, j: F.slice(F.col(a), i + 1, j - i)
