@@ -37,14 +37,26 @@ def is_skeleton(table: Column) -> Column:
     return F.length(F.regexp_replace(table, rf"(?U)[|{SPACE}\-]", "")) == 0
 
 
+def meet(cells: DataFrame, keys: Sequence[str], parsers: Sequence[str]) -> DataFrame:
+    """keys and a column of struct<value> a parser, null where it lacks the cell: one grouping by cell. Of
+    several values that a parser has for a cell the greatest counts."""
+    at = lambda p: F.max(F.when(F.col("parser") == p, F.struct("value"))).alias(p)
+    return cells.where(F.col("parser").isin(*parsers)).groupBy(*keys).agg(*(at(p) for p in parsers))
+
+
 def conflicts(cells: DataFrame, keys: Sequence[str], parsers: Sequence[str]) -> DataFrame:
     """keys, values (parser=value, in the order of `parsers`, missing ones as a dash) of every cell on
     which the parsers do not all agree; a full outer join of all of them in one grouping."""
-    got = F.map_from_entries(F.collect_list(F.struct("parser", "value")))
-    met = cells.where(F.col("parser").isin(*parsers)).groupBy(*keys).agg(got.alias("m"))
-    values = F.array(*(F.coalesce(F.col("m")[p], F.lit("-")) for p in parsers))
-    named = F.array_join(F.array(*(F.concat(F.lit(f"{p}="), F.coalesce(F.col("m")[p], F.lit("-"))) for p in parsers)), ";")
-    return met.where(F.size(F.array_distinct(values)) > 1).select(*keys, named.alias("values"))
+    return conflicts_met(meet(cells, keys, parsers), keys, parsers)
+
+
+def conflicts_met(met: DataFrame, keys: Sequence[str], parsers: Sequence[str]) -> DataFrame:
+    """`conflicts` of cells that have met already (the form of `meet`): row by row, without a shuffle."""
+    got = met.select(*keys, *(F.coalesce(F.col(f"`{p}`.value"), F.lit("-")).alias(p) for p in parsers))
+    agree = F.lit(True)
+    for p in parsers[1:]:
+        agree = agree & (F.col(f"`{p}`") == F.col(f"`{parsers[0]}`"))
+    return got.where(~agree).select(*keys, F.concat_ws(";", *(F.concat(F.lit(f"{p}="), F.col(f"`{p}`")) for p in parsers)).alias("values"))
 
 
 def row_sums(cells: DataFrame, keys: Sequence[str], total_col: int, value: Column | None = None, col_no: str = "col_no") -> DataFrame:
@@ -56,16 +68,38 @@ def row_sums(cells: DataFrame, keys: Sequence[str], total_col: int, value: Colum
     return out.withColumn("ok", F.coalesce(F.col("sum") == F.col("total"), F.lit(False)))
 
 
+def row_sums_met(rows: DataFrame, keys: Sequence[str], parts: Sequence[Column], total: Column) -> DataFrame:
+    """`row_sums` of rows whose cells stand side by side as numbers, null where they are none: row by row,
+    without a shuffle."""
+    add = F.coalesce(parts[0], F.lit(0))
+    for p in parts[1:]:
+        add = add + F.coalesce(p, F.lit(0))
+    out = rows.select(*keys, "parser", add.alias("sum"), F.coalesce(total, F.lit(0)).alias("total"))
+    return out.withColumn("ok", F.col("sum") == F.col("total"))
+
+
 def majority(cells: DataFrame, keys: Sequence[str], kind: str = "table", least: int = 2) -> DataFrame:
     """keys, value, votes, settled: of the eligible parsers' values the one with most votes, a tie going
     to the earlier parser; settled when at least `least` agree."""
-    order = ELIGIBLE[kind]
-    rank = F.array_position(F.array(*(F.lit(p) for p in order)), F.col("parser"))
-    votes = cells.where(F.col("parser").isin(*order)).groupBy(*keys, "value").agg(F.count_distinct("parser").alias("votes"), F.min(rank).alias("rank"))
-    # the value's own grouping is by finer keys: deal it by cell once more, as counts only
-    top = F.max_by(F.struct("value", "votes"), F.struct("votes", -F.col("rank")))
-    out = votes.groupBy(*keys).agg(top.alias("__top"))
-    return out.select(*keys, "__top.value", "__top.votes", (F.col("__top.votes") >= least).alias("settled"))
+    return majority_met(meet(cells, keys, ELIGIBLE[kind]), keys, kind, least)
+
+
+def majority_met(met: DataFrame, keys: Sequence[str], kind: str = "table", least: int = 2) -> DataFrame:
+    """`majority` of cells that have met already (the form of `meet`): row by row, without a shuffle. A parser
+    without a column has no cells; a row without an eligible cell is left out."""
+    order = [p for p in ELIGIBLE[kind] if p in met.columns]
+    if not order:
+        value = F.lit(None).cast("string")
+        return met.where("false").select(*keys, value.alias("value"), F.lit(0).cast("long").alias("votes"), F.lit(False).alias("settled"))
+    at = {p: F.col(f"`{p}`") for p in order}
+    # a missing cell has no votes; equal values of several parsers have as many votes each
+    votes = {p: F.when(at[p].isNull(), 0).otherwise(sum((at[q].eqNullSafe(at[p]).cast("int") for q in order if q != p), F.lit(1))) for p in order}
+    any_cell = F.coalesce(*(F.when(at[p].isNotNull(), F.lit(True)) for p in order))
+    counted = met.where(any_cell).select(*keys, *order, *(v.alias(f"__{p}") for p, v in votes.items()))
+    most = F.greatest(*(F.col(f"`__{p}`") for p in order)) if len(order) > 1 else F.col(f"`__{order[0]}`")
+    counted = counted.withColumn("__most", most)
+    won = F.coalesce(*(F.when(F.col(f"`__{p}`") == F.col("__most"), at[p]) for p in order))
+    return counted.select(*keys, won["value"].alias("value"), F.col("__most").cast("long").alias("votes"), (F.col("__most") >= least).alias("settled"))
 
 
 def fill_merged(cells: DataFrame, keys: Sequence[str], row: str = "row_no", col_no: str = "col_no") -> DataFrame:
