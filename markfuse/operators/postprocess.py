@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markfuse.functions.text import SPACE, col, is_blank, strip
+from markfuse.functions.text import SPACE, bound, col, is_blank, strip
 from markfuse.operators.alt import IMAGE, LABEL
 
 BLANKS = r"\n{3,}"
@@ -66,15 +66,18 @@ def flatten_html_table(table: Column | str) -> Column:
     cell = r"(?is)<t[dh]\b([^>]*)>(.*?)</t[dh]>"
 
     def as_row(r: Column) -> Column:
-        span = F.transform(F.regexp_extract_all(r, F.lit(cell), F.lit(1)), lambda a: F.coalesce(F.nullif(F.regexp_extract(a, r"(?i)colspan\s*=\s*[\"']?(\d+)", 1), F.lit("")).cast("int"), F.lit(1)))
         text = F.transform(F.regexp_extract_all(r, F.lit(cell), F.lit(2)), lambda v: strip(F.regexp_replace(v, r"(?i)<(?!br)[^>]+>", "")))
-        wide = F.flatten(F.zip_with(text, span, lambda v, n: F.array_repeat(F.when(v == "", "-").otherwise(v), n)))
+        shown = F.transform(text, lambda v: F.when(v == "", "-").otherwise(v))
+        span = F.transform(F.regexp_extract_all(r, F.lit(cell), F.lit(1)), lambda a: F.coalesce(F.nullif(F.regexp_extract(a, r"(?i)colspan\s*=\s*[\"']?(\d+)", 1), F.lit("")).cast("int"), F.lit(1)))
+        # most rows span nothing: their cells are not read again for widths
+        wide = F.when(r.rlike("(?i)colspan"), F.flatten(F.zip_with(shown, span, lambda v, n: F.array_repeat(v, n)))).otherwise(shown)
         return F.concat(F.lit("| "), F.array_join(wide, " | "), F.lit(" |"))
 
-    body = F.transform(rows, as_row)
-    columns = F.size(F.split(F.get(body, F.lit(0)), r" \| ", -1))
-    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), columns))
-    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(body, 1, 1), F.array(rule), F.slice(body, F.lit(2), F.greatest(F.size(body) - 1, F.lit(0)))), "\n")).otherwise("")
+    def with_rule(body: Column) -> Column:
+        rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size(F.split(F.get(body, F.lit(0)), r" \| ", -1))))
+        return F.when(F.size(body) > 0, F.array_join(F.concat(F.slice(body, 1, 1), F.array(rule), F.slice(body, F.lit(2), F.greatest(F.size(body) - 1, F.lit(0)))), "\n")).otherwise("")
+
+    return bound(F.transform(rows, as_row), with_rule)
 
 
 def running_lines(lines: DataFrame, least: int = 3, doc: str = "doc") -> DataFrame:

@@ -9,7 +9,7 @@ from markfuse.functions import text as tx
 from markfuse.operators import align, alt, assess, cells, fuse, postprocess, score
 from markfuse.plans import views
 from markfuse.plans.catalogue import _ASSESS, _ITEMS, LABELS, _pairs
-from markfuse.session import table
+from markfuse.session import spread, table
 from markfuse.sources import readers, registry
 
 # ---------------------------------------------------------------- inputs
@@ -75,7 +75,8 @@ def runs(d: views.Spark) -> str:
 
 
 def _digest(rows: DataFrame, out, key: str = "k") -> DataFrame:
-    return rows.select(key, F.length(out).cast("long").alias("n_chars"), F.sha2(out, 256).alias("sha256"))
+    made = rows.select(key, out.alias("__out"))  # in a step of its own: taken twice
+    return made.select(key, F.length("__out").cast("long").alias("n_chars"), F.sha2("__out", 256).alias("sha256"))
 
 
 def placeholder_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,7 +100,7 @@ def final_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flat_tables(spark: SparkSession, sf: str) -> DataFrame:
-    return _digest(views.of(spark, sf, html_tables), postprocess.flatten_html_table("html"))
+    return _digest(spread(views.of(spark, sf, html_tables), "k"), postprocess.flatten_html_table("html"))
 
 
 def _flagged(spark: SparkSession, sf: str, rule, flag: str) -> DataFrame:

@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "markfuse", cores: int | None = None, **conf: str) -> SparkSession:
@@ -39,6 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt over the session's cores by key, for work that is dear by row: a compressed file of few
+    row groups is read by as few tasks, whatever the work, and all cores but theirs would be idle."""
+    spark = rows.sparkSession
+    n = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(n, key)
+
+
 BATCH_BYTES, SPARKS_OWN, SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, "8m"
 
 

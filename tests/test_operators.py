@@ -194,6 +194,7 @@ def test_credits_and_corrections(spark):
     a = spark.createDataFrame([(200, False, True, "xlarge")], "pages long, has_text_layer boolean, table_hint boolean, tier string")
     assert assess.corrections(a).first().triggers == ["scan", "scan_numeric_table", "recheck_text_layer"]
     assert many(spark, assess.english_ratio, ["abc가", "12"]) == [0.75, None]
+    assert many(spark, assess.english_ratio, [None, "", "가나", "aé 1 b-ß", "x"]) == [None, None, 0.0, 0.5, 1.0]
 
 
 def test_registry(spark):
@@ -476,6 +477,7 @@ def test_text_rules(spark):
     assert many(spark, p.strip_placeholders, ["![a](page_1_image_2_v2.jpg)![](page_1_layout_x.png)NO_CONTENT_HERE"]) == ["(이미지: a)"]
     assert many(spark, p.final_clean, ['<label><input type="checkbox">x</label><figcaption>y</figcaption>![q](w)']) == ["□x"]
     assert many(spark, p.flatten_html_table, ['<table><tr><th colspan="2">a</th></tr><tr><td>1</td><td></td></tr></table>']) == ["| a | a |\n|---|---|\n| 1 | - |"]
+    assert many(spark, p.flatten_html_table, [None, "", "<table></table>", "<tr><TD COLSPAN=3> <b></b> </TD><td>x<br>y</td></tr>", "<tr><td>colspan</td></tr>"]) == ["", "", "", "| - | - | - | x<br>y |\n|---|---|---|---|", "| colspan |\n|---|"]
     assert many(spark, p.clean, [None, ""]) == [None, ""]
 
 
