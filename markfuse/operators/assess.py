@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markfuse.functions.text import strip
+from markfuse.functions.text import bound, strip
 from markfuse.sources import registry
 
 SAMPLE_PAGES, TABLE_PAGES = 3, 10
@@ -82,8 +82,8 @@ def credits(pages: Column, plan: Column) -> Column:
 
 def english_ratio(text: Column) -> Column:
     """Latin letters among all letters; null without a letter."""
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    return F.when(letters > 0, F.length(F.regexp_replace(text, "[^A-Za-z]", "")) / letters)
+    # runs go at once, and the second look is at letters only
+    return bound(F.regexp_replace(text, r"\P{L}+", ""), lambda t: F.try_divide(F.length(F.regexp_replace(t, "[^A-Za-z]+", "")), F.length(t)))
 
 
 def corrections(assessed: DataFrame) -> DataFrame:
