@@ -80,16 +80,21 @@ def letters_key(segment: Column | str) -> Column:
     return F.regexp_replace(F.lower(strip_markup(F.array_join(col(segment), ""))), f"[^0-9a-z{HANGUL}]", "")
 
 
+def replaced(c: Column | str, sign: str, pattern: str, by: str) -> Column:
+    """pattern replaced where the text holds sign, without which it cannot match; looking for it is much cheaper."""
+    return bound(col(c), lambda x: F.when(x.contains(sign), F.regexp_replace(x, pattern, by)).otherwise(x))
+
+
 def normalise_transcript(c: Column | str) -> Column:
     """Without editorial marks: bracketed notes, parentheses that hold Hangul, runs of white space."""
-    bare = F.regexp_replace(F.regexp_replace(col(c), r"\[[^\]]*\]", " "), rf"\([^)]*[{HANGUL}][^)]*\)", " ")
-    return strip(F.regexp_replace(bare, rf"(?U)[{SPACE}]+", " "))
+    bare = replaced(replaced(c, "[", r"\[[^\]]*\]", " "), "(", rf"\([^)]*[{HANGUL}][^)]*\)", " ")
+    # a single space stays as it is, and after this there is no other white space
+    return F.trim(F.regexp_replace(bare, rf"(?U)[{SPACE}]{{2,}}|[{SPACE}&&[^ ]]", " "))
 
 
 def clean_body(c: Column | str) -> Column:
     """Rules and quoted lines become a space."""
-    ruled = F.regexp_replace(col(c), rf"(?dUm)^[{SPACE}]*---+[{SPACE}]*$", " ")
-    return F.regexp_replace(ruled, rf"(?dUm)^[{SPACE}]*>.*$", " ")
+    return replaced(replaced(c, "---", rf"(?dUm)^[{SPACE}]*---+[{SPACE}]*$", " "), ">", rf"(?dUm)^[{SPACE}]*>.*$", " ")
 
 
 def words(c: Column | str) -> Column:
@@ -98,23 +103,40 @@ def words(c: Column | str) -> Column:
 
 
 def edit_distance(a: Column | str, b: Column | str) -> Column:
-    """Least number of code point edits."""
-    return F.levenshtein(col(a), col(b)).cast("long")
+    """Least number of code point edits, or between arrays of element edits. It and `edit_scores` run in Python
+    workers: see `session.ship`."""
+
+    @F.arrow_udf("bigint")
+    def apart(a, b):
+        import pyarrow as pa
 
+        from markfuse.functions import edits
 
-# Word numbers become code points above the surrogates, so one built-in distance serves words too.
-_FIRST_POINT = 65536
+        return pa.array([None if x is None or y is None else edits.apart(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int64())
+
+    return apart(col(a), col(b))
 
 
 def word_distance(a: Column, b: Column) -> Column:
-    """Least number of word edits between two word arrays. Each distinct word stands for one code point;
-    up to 1,048,576 distinct words in a pair have one."""
-    known = F.array_distinct(F.concat(a, b))
-    as_hex = lambda ws, m: F.array_join(F.transform(ws, lambda w: F.lpad(F.hex(F.element_at(m, w)), 8, "0")), "")
-    as_text = lambda ws, m: F.when(F.size(ws) > 0, F.decode(F.unhex(as_hex(ws, m)), "UTF-32")).otherwise("")
-    numbered = bound(known, lambda k: F.map_from_arrays(k, F.sequence(F.lit(_FIRST_POINT), F.lit(_FIRST_POINT - 1) + F.size(k))))
-    far = bound(F.struct(numbered.alias("m"), a.alias("a"), b.alias("b")), lambda x: edit_distance(as_text(x["a"], x["m"]), as_text(x["b"], x["m"])))
-    return F.when(F.size(a) + F.size(b) == 0, F.lit(0).cast("long")).when(a == b, F.lit(0).cast("long")).otherwise(far)
+    """Least number of word edits between two word arrays."""
+    return edit_distance(a, b)
+
+
+def edit_scores(a: Column | str, b: Column | str, with_words: bool = True) -> Column:
+    """struct<dist, folded> of code point edits as they are and in lower case; with words also a_words, b_words,
+    word_dist, of words as `words` gives them."""
+    names = ["dist", "folded", *(["a_words", "b_words", "word_dist"] if with_words else [])]
+
+    @F.arrow_udf("struct<" + ",".join(f"{x}:bigint" for x in names) + ">")
+    def scores(*texts):
+        import pyarrow as pa
+
+        from markfuse.functions import edits
+
+        rows = [edits.scores(*x, with_words) for x in zip(*(t.to_pylist() for t in texts))]
+        return pa.StructArray.from_arrays([pa.array((r[i] for r in rows), pa.int64()) for i in range(len(names))], names)
+
+    return scores(col(a), col(b), F.lower(col(a)), F.lower(col(b)))
 
 
 def error_rate(distance: Column, length: Column, other_length: Column) -> Column:

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markfuse.functions.text import SPACE, clean_body, edit_distance, error_rate, normalise_transcript, word_distance, words
+from markfuse.functions.text import SPACE, bound, clean_body, edit_scores, error_rate, normalise_transcript
+from markfuse.session import ship
 
 ID_PATTERN = rf"^##[{SPACE}]*학번[{SPACE}]*[:：][{SPACE}]*(\d{{5}})"
 CANON = "canon"
@@ -22,12 +23,12 @@ def parse_items(transcripts: DataFrame, id_pattern: str = ID_PATTERN, doc: str =
     the same id the last counts. The pattern's first group is the id."""
     p = f"(?Udm){id_pattern}"
     ids = F.regexp_extract_all(F.col(markdown), F.lit(p), F.lit(1))
-    parts = F.split(F.col(markdown), p, -1)
-    groups = F.zip_with(ids, F.slice(parts, 2, F.size(parts)), lambda i, b: F.struct(i.alias("id"), b.alias("b")))
-    rows = transcripts.where(F.size(ids) > 0).select("label", doc, F.posexplode(groups).alias("n", "g"))
+    # the pattern goes over a text twice; a filter on ids, or parts named twice, would send it again
+    groups = bound(F.split(F.col(markdown), p, -1), lambda parts: F.zip_with(ids, F.slice(parts, 2, F.size(parts)), lambda i, b: F.struct(i.alias("id"), b.alias("b"))))
+    rows = transcripts.select("label", doc, F.posexplode(groups).alias("n", "g"))
     last = rows.groupBy("label", doc, F.col("g.id").alias("item_id")).agg(F.max_by("g.b", "n").alias("chunk"))
     # the rest of the header line is no body
-    rest = F.when(F.col("chunk").contains("\n"), F.regexp_replace("chunk", r"(?d)\A[^\n]*\n", "")).otherwise("")
+    rest = F.when(F.col("chunk").contains("\n"), F.substr("chunk", F.instr("chunk", F.lit("\n")) + 1)).otherwise("")
     return last.select("label", doc, "item_id", normalise_transcript(clean_body(rest)).alias("body"))
 
 
@@ -44,18 +45,17 @@ def paired(items: DataFrame, labels: Sequence[str], doc: str = "doc") -> DataFra
 def score_items(pairs: DataFrame, doc: str = "doc", with_words: bool = True) -> DataFrame:
     """doc, label, item_id, ref_len, dist, dist_folded, cer and, with words, ref_words, word_dist, wer,
     for every item of the canon; a missing hypothesis is empty."""
+    ship(pairs.sparkSession)
     hyp = F.coalesce("hyp", F.lit(""))
     rows = pairs.where("ref IS NOT NULL").select(doc, "label", "item_id", "ref", hyp.alias("hyp"))
     n, m = F.length("ref").cast("long"), F.length("hyp").cast("long")
-    # each distance in a step of its own: the rates take it again
-    rows = rows.withColumns({"dist": F.when(F.col("ref") == F.col("hyp"), F.lit(0).cast("long")).otherwise(edit_distance("ref", "hyp")), "__r": F.lower("ref"), "__h": F.lower("hyp")})
-    same = (F.col("__r") == F.col("ref")) & (F.col("__h") == F.col("hyp"))
-    folded = F.when(same, F.col("dist")).otherwise(edit_distance("__r", "__h"))
-    out = [n.alias("ref_len"), "dist", folded.alias("dist_folded"), error_rate(F.col("dist"), n, m).alias("cer")]
+    # distances in a step of their own: the rates take them again
+    rows = rows.withColumn("__e", edit_scores("ref", "hyp", with_words))
+    e = lambda c: F.col(f"__e.{c}")
+    out = [n.alias("ref_len"), e("dist").alias("dist"), e("folded").alias("dist_folded"), error_rate(e("dist"), n, m).alias("cer")]
     if with_words:
-        rows = rows.withColumns({"rw": words("ref"), "hw": words("hyp")}).withColumn("word_dist", word_distance(F.col("rw"), F.col("hw")))
-        k = F.size("rw").cast("long")
-        out += [k.alias("ref_words"), "word_dist", error_rate(F.col("word_dist"), k, F.size("hw")).alias("wer")]
+        k = e("a_words")
+        out += [k.alias("ref_words"), e("word_dist").alias("word_dist"), error_rate(e("word_dist"), k, e("b_words")).alias("wer")]
     return rows.select(doc, "label", "item_id", *out)
 
 
